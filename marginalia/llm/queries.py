@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import packing
+from marginalia.llm import audio, bpe, packing
 from marginalia.runtime import table
 
 
+def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {
+    "op4_audio_features": op4_audio_features,
+    "op6_word_bpe": op6_word_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
