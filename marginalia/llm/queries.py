@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import audio, bpe, packing
+from marginalia.llm import audio, bpe, langid, packing, quality
 from marginalia.runtime import table
 
 
@@ -12,6 +12,13 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), quality.held_out(5, 0)
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~out)
+    scored = quality.classify(docs, forest)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -21,10 +28,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), langid.held_out(3, 1)
+    model = langid.fit(docs, learn=~out)
+    return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op4_audio_features": op4_audio_features,
+    "op5_quality_trees": op5_quality_trees,
     "op6_word_bpe": op6_word_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_language_spans": op10_language_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
