@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marginalia.llm import audio, bpe, langid, packing, quality
+from marginalia.llm import audio, bpe, langid, packing, quality, simhash
 from marginalia.runtime import table
 
 
@@ -28,6 +29,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), langid.held_out(3, 1)
     model = langid.fit(docs, learn=~out)
@@ -39,6 +45,7 @@ QUERIES = {
     "op5_quality_trees": op5_quality_trees,
     "op6_word_bpe": op6_word_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_simhash_pigeonring": op9_simhash_pigeonring,
     "op10_language_spans": op10_language_spans,
 }
 
