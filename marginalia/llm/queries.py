@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import audio, bpe, langid, packing, quality, simhash
+from marginalia.llm import audio, bpe, html_text, langid, packing, quality, simhash, warc
 from marginalia.runtime import table
 
 
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_digest(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -41,12 +49,27 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_html_layout": op3_html_layout,
     "op4_audio_features": op4_audio_features,
     "op5_quality_trees": op5_quality_trees,
     "op6_word_bpe": op6_word_bpe,
+    "op7_warc_round_trip": op7_warc_round_trip,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_pigeonring": op9_simhash_pigeonring,
     "op10_language_spans": op10_language_spans,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Base32 of a SHA-1, five hexadecimal digits to four letters.
+_BASE32 = """array_to_string(list_transform(range(8), lambda i: list_reduce(list_transform([15, 10, 5, 0], lambda s:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr({hex}, CAST(1 + 5 * i AS INT), 5) AS BIGINT) >> s) & 31), 1)), lambda a, b: a || b)), '')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_round_trip": f"""
+WITH payload AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+best AS (SELECT html, max(page_id) AS response FROM payload GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32.format(hex="hex")} AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM payload JOIN best USING (html)
+""",
+}
