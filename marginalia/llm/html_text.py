@@ -83,22 +83,28 @@ def parse(source: str) -> Node:
     """The tree of a page, with implied tags supplied."""
     root = Node("#root")
     opened = [root]
+    depth: dict[str, int] = {}  # how many elements of each tag are open
+
+    def cut(at: int) -> None:
+        for node in opened[at:]:
+            depth[node.tag] -= 1
+        del opened[at:]
 
     def close_to(names, boundary) -> None:
         """End the innermost of ``names`` above ``boundary``, and with it all inside; repeat."""
-        while True:
+        while any(depth.get(name) for name in names):
             for at in range(len(opened) - 1, 0, -1):
                 if opened[at].tag in boundary:
                     return
                 if opened[at].tag in names:
-                    del opened[at:]
+                    cut(at)
                     break
             else:
                 return
 
     def start(tag: str, attributes: dict[str, str], empty: bool) -> None:
         if len(opened) > 1 and opened[-1].tag == "head" and tag not in _HEAD_ONLY and tag != "head":
-            opened.pop()
+            cut(len(opened) - 1)
         if tag in _ENDS_P:
             close_to({"p"}, _P_SCOPE)
         if tag in _IMPLIED:
@@ -108,19 +114,22 @@ def parse(source: str) -> Node:
         if tag == "a":
             close_to({"a"}, _P_SCOPE)
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", opened[-1].tag):
-            opened.pop()
+            cut(len(opened) - 1)
         node = Node(tag, attributes)
         opened[-1].children.append(node)
         if not empty and tag not in VOID:
             opened.append(node)
+            depth[tag] = depth.get(tag, 0) + 1
 
     def end(tag: str) -> None:
-        if tag == "br" or tag == "p" and not any(n.tag == "p" for n in opened):
+        if tag == "br" or tag == "p" and not depth.get("p"):
             start(tag, {}, tag == "p")
             return
+        if not depth.get(tag):
+            return
         for at in range(len(opened) - 1, 0, -1):
             if opened[at].tag == tag:
-                del opened[at:]
+                cut(at)
                 return
             if opened[at].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                 return  # an end tag does not reach out of its cell
@@ -151,7 +160,7 @@ def parse(source: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?|\Z", re.I).search(source, at)
             raw = source[at : close.start()]
             opened[-1].children.append(entities.unescape(raw) if tag in ("textarea", "title") else raw)
-            opened.pop()
+            cut(len(opened) - 1)
             at = close.end()
     return root
 
