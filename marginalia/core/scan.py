@@ -66,10 +66,10 @@ class Malformed(ValueError):
     pass
 
 
-def _end_of(text: str, at: int, opener: str, escapes: bool) -> int:
+def _end_of(text: str, at: int, opener: str, escapes: bool, keyed: bool = False) -> int:
     """Position after the delimiter that closes a block opened just before ``at``, or -1."""
     closer = "}" if opener == "{" else ")"
-    depth, quoted, keyed = 0, False, False
+    depth, quoted = 0, False
     quote_depth = 0
     while found := _MARKS.search(text, at):
         mark, at = found[0], found.end()
@@ -219,7 +219,7 @@ def _block(text: str, at: int) -> Block:
         end = found_next.start() if found_next else len(text)
         return Block("other", at, end, text[at:end], value=text[at:end])
     kind, inner = found[1].lower(), found.end()
-    ends = sorted({e for e in (_end_of(text, inner, found[2], True), _end_of(text, inner, found[2], False)) if e > 0})
+    ends = sorted({e for e in (_end_of(text, inner, found[2], escapes, kind in ("preamble", "comment")) for escapes in (True, False)) if e > 0})
     if len(ends) == 2:  # without escapes it ends earlier: only where something can follow
         rest = text[ends[0] :].lstrip(SPACE)[:1]
         ends = ends if not rest or rest in "@%" else ends[1:]

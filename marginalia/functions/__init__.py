@@ -1,0 +1,312 @@
+"""The column functions: parse, inspect, cite, bibliography, format, edit.
+
+Each capability is one deterministic Arrow UDF that returns a wide struct; the
+narrow functions read its fields, so Catalyst evaluates a source once per
+capability.  A worker keeps recently parsed sources, so a literal source beside
+a column of keys is parsed once.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marginalia.core import cite as _cite
+from marginalia.core import library as _library
+from marginalia.core import scan as _scan
+from marginalia.core import tidy as _tidy
+
+_TEXTS = T.ArrayType(T.StringType())
+REPORT = T.StructType().add("ok", T.BooleanType()).add("entry_count", T.IntegerType()).add("keys", _TEXTS).add("diagnostics", _TEXTS)
+RENDERED = T.StructType().add("text", T.StringType()).add("html", T.StringType())
+_WARNING = T.StructType().add("code", T.StringType()).add("rule", T.StringType()).add("message", T.StringType())
+TIDIED = T.StructType().add("ok", T.BooleanType()).add("bibtex", T.StringType()).add("count", T.IntegerType()).add("warnings", T.ArrayType(_WARNING)).add("error", T.StringType())
+_ATOM = T.StructType().add("value", T.StringType()).add("value_mode", T.StringType())
+BLOCK = T.StructType().add("block_no", T.IntegerType()).add("kind", T.StringType()).add("raw", T.StringType()).add("value", T.StringType()).add("key", T.StringType()).add("error", T.StringType()).add("span_start", T.IntegerType()).add("span_end", T.IntegerType())
+FIELD = T.StructType().add("entry_no", T.IntegerType()).add("key", T.StringType()).add("kind", T.StringType()).add("field_no", T.IntegerType()).add("name", T.StringType()).add("value", T.StringType()).add("value_mode", T.StringType()).add("atoms", T.ArrayType(_ATOM)).add("span_start", T.IntegerType()).add("span_end", T.IntegerType())
+
+
+def _column(given) -> Column:
+    """A column as it is, a name as that column, anything else as a literal."""
+    return given if isinstance(given, Column) else F.col(given) if isinstance(given, str) else F.lit(given)
+
+
+def _strict(recovery: str) -> bool:
+    if recovery not in ("error", "report"):
+        raise ValueError(f"recovery must be 'error' or 'report', not {recovery!r}")
+    return recovery == "error"
+
+
+@functools.lru_cache(maxsize=64)
+def _parsed(source: str, strict: bool) -> _library.Library | str:
+    try:
+        return _library.parse_bibtex(source, strict)
+    except _library.ParseFailure as error:
+        return str(error)
+
+
+def _apply(work: Callable, returns: T.DataType, *columns) -> Column:
+    return F.udf(work, returns, useArrow=True)(*map(_column, columns))
+
+
+# ---- parse and inspect ---------------------------------------------------
+
+
+def _report(strict: bool) -> Callable:
+    def work(source):
+        if source is None:
+            return (None, None, None, None)
+        got = _parsed(source, strict)
+        return (False, None, None, got.split("\n")) if isinstance(got, str) else (True, len(got.records), got.keys(), got.diagnostics)
+
+    return work
+
+
+def parse_report(bibtex, *, recovery: str = "error") -> Column:
+    """ok, entry_count, keys and diagnostics of each source; four nulls for null."""
+    return _apply(_report(_strict(recovery)), REPORT, bibtex).alias("parse_report")
+
+
+def entry_count(bibtex, *, recovery: str = "error") -> Column:
+    return parse_report(bibtex, recovery=recovery)["entry_count"].alias("entry_count")
+
+
+def can_parse(bibtex, *, recovery: str = "error") -> Column:
+    return parse_report(bibtex, recovery=recovery)["ok"].alias("can_parse")
+
+
+def has_diagnostics(bibtex, *, recovery: str = "error") -> Column:
+    return (F.size(parse_report(bibtex, recovery=recovery)["diagnostics"]) > 0).alias("has_diagnostics")
+
+
+def keys(bibtex, *, recovery: str = "error") -> Column:
+    return parse_report(bibtex, recovery=recovery)["keys"].alias("keys")
+
+
+def diagnostics(bibtex, *, recovery: str = "error") -> Column:
+    return parse_report(bibtex, recovery=recovery)["diagnostics"].alias("diagnostics")
+
+
+def entries(bibtex, *, fields=("key", "title", "doi", "volume"), recovery: str = "error") -> Column:
+    """Projection rows of each source; null where it does not parse."""
+    if isinstance(fields, str):
+        raise TypeError("fields must be an iterable of names, not a string")
+    fields, strict = tuple(fields), _strict(recovery)
+    for name in fields:
+        if name not in _library.PROJECTIONS:
+            raise ValueError(f'unsupported projection field "{name}"')
+
+    def work(source):
+        got = None if source is None else _parsed(source, strict)
+        return None if got is None or isinstance(got, str) else [tuple(r.project(f) for f in fields) for r in got.records]
+
+    row = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    return _apply(work, T.ArrayType(row), bibtex).alias("entries")
+
+
+def to_entry_json(bibtex, *, recovery: str = "error") -> Column:
+    """A JSON array of normalised entries, each with id and key."""
+    strict = _strict(recovery)
+
+    def work(source):
+        got = None if source is None else _parsed(source, strict)
+        return None if got is None or isinstance(got, str) else got.to_json()
+
+    return _apply(work, T.StringType(), bibtex).alias("to_entry_json")
+
+
+# ---- cite ----------------------------------------------------------------
+
+
+def _both(rendered: _cite.Rendered | None):
+    return None if rendered is None else (rendered.text, rendered.html)
+
+
+def _citing(bibtex, wanted, render: Callable, returns: T.DataType, style: str, locale: str, recovery: str) -> Column:
+    of, strict = _cite.style(style), _strict(recovery)
+    if locale not in ("", "en-US"):
+        raise ValueError(f"unknown bundled locale {locale!r}")
+
+    def work(source, keys):
+        if source is None or keys is None:
+            return None
+        got = _parsed(source, strict)
+        return None if isinstance(got, str) else render(got, keys, of)
+
+    return _apply(work, returns, bibtex, wanted)
+
+
+def cite_rendered(bibtex, key, *, style="apa", locale="en-US", recovery="error") -> Column:
+    """Text and HTML of the citation of one key; null for a missing key."""
+    return _citing(bibtex, key, lambda lib, k, of: _both(_cite.cite_group(lib, [_cite.Cite(k)], of)), RENDERED, style, locale, recovery).alias("cite_rendered")
+
+
+def cite(bibtex, key, **options) -> Column:
+    return cite_rendered(bibtex, key, **options)["text"].alias("cite")
+
+
+def cite_html(bibtex, key, **options) -> Column:
+    return cite_rendered(bibtex, key, **options)["html"].alias("cite_html")
+
+
+def cite_each_rendered(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
+    """A citation per key of a list; null if any key is null or missing."""
+
+    def render(lib, wanted, of):
+        got = None if any(k is None for k in wanted) else _cite.cite_each(lib, list(wanted), of)
+        return None if got is None else [_both(r) for r in got]
+
+    return _citing(bibtex, keys, render, T.ArrayType(RENDERED), style, locale, recovery).alias("cite_each_rendered")
+
+
+def cite_each(bibtex, keys, **options) -> Column:
+    return cite_each_rendered(bibtex, keys, **options)["text"].alias("cite_each")
+
+
+def cite_each_html(bibtex, keys, **options) -> Column:
+    return cite_each_rendered(bibtex, keys, **options)["html"].alias("cite_each_html")
+
+
+def cite_group_rendered(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
+    """One citation of all keys of a list; empty for none."""
+
+    def render(lib, wanted, of):
+        return None if any(k is None for k in wanted) else _both(_cite.cite_group(lib, [_cite.Cite(k) for k in wanted], of))
+
+    return _citing(bibtex, keys, render, RENDERED, style, locale, recovery).alias("cite_group_rendered")
+
+
+def cite_group(bibtex, keys, **options) -> Column:
+    return cite_group_rendered(bibtex, keys, **options)["text"].alias("cite_group")
+
+
+def cite_group_html(bibtex, keys, **options) -> Column:
+    return cite_group_rendered(bibtex, keys, **options)["html"].alias("cite_group_html")
+
+
+def full_bibliography_rendered(bibtex, *, style="apa", locale="en-US", recovery="error") -> Column:
+    """Text and HTML of all entries' bibliography."""
+    return _citing(bibtex, F.lit(""), lambda lib, _, of: _cite.bibliography(lib.records, of), RENDERED, style, locale, recovery).alias("full_bibliography_rendered")
+
+
+def full_bibliography_text(bibtex, **options) -> Column:
+    return full_bibliography_rendered(bibtex, **options)["text"].alias("full_bibliography_text")
+
+
+def full_bibliography_html(bibtex, **options) -> Column:
+    return full_bibliography_rendered(bibtex, **options)["html"].alias("full_bibliography_html")
+
+
+# ---- format and edit -----------------------------------------------------
+
+
+def tidy_bibtex_report(bibtex, **options) -> Column:
+    """ok, bibtex, count, warnings and error of formatting; a null struct for null."""
+    chosen = _tidy.TidyOptions.check(**options)
+
+    def work(source):
+        if source is None:
+            return None
+        try:
+            got = _tidy.tidy(source, chosen)
+        except _tidy.TidySyntaxError as error:
+            return (False, None, None, None, error.display())
+        return (True, got.bibtex, got.count, [(w.code.lower(), w.rule, w.message) for w in got.warnings], None)
+
+    return _apply(work, TIDIED, bibtex).alias("tidy_bibtex_report")
+
+
+def tidy_bibtex(bibtex, **options) -> Column:
+    return tidy_bibtex_report(bibtex, **options)["bibtex"].alias("tidy_bibtex")
+
+
+def raw_blocks(bibtex) -> Column:
+    """Blocks of each raw source with kinds and byte spans."""
+
+    def work(source):
+        if source is None:
+            return None
+        blocks = _scan.scan(source)
+        at = _scan.byte_spans(source, [p for b in blocks for p in (b.start, b.end)])
+        return [(i, b.kind, b.raw, b.value, b.key, b.error, at[b.start], at[b.end]) for i, b in enumerate(blocks)]
+
+    return _apply(work, T.ArrayType(BLOCK), bibtex).alias("raw_blocks")
+
+
+def raw_fields(bibtex) -> Column:
+    """Fields of each raw source, duplicates included, with byte spans of their inner text."""
+
+    def work(source):
+        if source is None:
+            return None
+        found = [b.entry for b in _scan.scan(source) if b.entry]
+        at = _scan.byte_spans(source, [p for e in found for f in e.fields for p in (f.start, f.end)])
+        return [(i, e.key, e.kind, k, f.name, f.value, f.mode, [(a.value, a.mode) for a in f.atoms], at[f.start], at[f.end]) for i, e in enumerate(found) for k, f in enumerate(e.fields)]
+
+    return _apply(work, T.ArrayType(FIELD), bibtex).alias("raw_fields")
+
+
+def set_field(bibtex, key, field, value) -> Column:
+    """Each source with one field's value replaced; null where it cannot be."""
+
+    def work(source, key, field, value):
+        try:
+            return None if None in (source, key, field, value) else _scan.set_field(source, key, field, value)
+        except (KeyError, IndexError, ValueError):
+            return None
+
+    return _apply(work, T.StringType(), bibtex, key, field, value).alias("set_field")
+
+
+NAMES = (
+    "entry_count", "can_parse", "has_diagnostics", "keys", "entries", "diagnostics", "parse_report", "to_entry_json",
+    "cite", "cite_html", "cite_rendered", "cite_each", "cite_each_html", "cite_each_rendered", "cite_group", "cite_group_html", "cite_group_rendered",
+    "full_bibliography_text", "full_bibliography_html", "full_bibliography_rendered", "tidy_bibtex", "tidy_bibtex_report",
+)
+
+
+class Namespace:
+    """``column.bib.cite("key")``: the functions with the column as their source."""
+
+    def __init__(self, column: Column):
+        self._column = column
+
+    def __getattr__(self, name: str):
+        if name not in NAMES:
+            raise AttributeError(name)
+        return functools.partial(globals()[name], self._column)
+
+
+def install() -> None:
+    """Give every column the ``bib`` namespace."""
+    Column.bib = property(Namespace)
+
+
+def register(spark: SparkSession, prefix: str = "bib_") -> None:
+    """SQL functions with default options: ``bib_keys(text)``, ``bib_cite(text, key)`` and so on."""
+    texts, single = T.StringType(), {"report": (_report(True), REPORT)}
+
+    def by_key(render, returns):
+        def work(source, wanted):
+            got = None if source is None or wanted is None else _parsed(source, True)
+            return None if got is None or isinstance(got, str) else render(got, wanted)
+
+        return F.udf(work, returns, useArrow=True)
+
+    spark.udf.register(prefix + "report", F.udf(*single["report"], useArrow=True))
+    spark.udf.register(prefix + "keys", F.udf(lambda s: _report(True)(s)[2], _TEXTS, useArrow=True))
+    spark.udf.register(prefix + "entry_count", F.udf(lambda s: _report(True)(s)[1], T.IntegerType(), useArrow=True))
+    spark.udf.register(prefix + "can_parse", F.udf(lambda s: _report(True)(s)[0], T.BooleanType(), useArrow=True))
+    spark.udf.register(prefix + "cite", by_key(lambda lib, k: _both(_cite.cite_group(lib, [_cite.Cite(k)], "apa")), RENDERED))
+    spark.udf.register(prefix + "tidy", F.udf(lambda s: None if s is None else _tidied(s), texts, useArrow=True))
+
+
+def _tidied(source: str) -> str | None:
+    try:
+        return _tidy.tidy(source).bibtex
+    except _tidy.TidySyntaxError:
+        return None

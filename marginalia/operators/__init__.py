@@ -1,0 +1,85 @@
+"""Relational operators over sources, entries and citations, as DataFrame code."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from marginalia import functions as B
+from marginalia import runtime
+from marginalia.core import cite as _cite
+from marginalia.core import library as _library
+
+
+def explode_entries(df: DataFrame, source: str = "bibtex", *, fields=("key", "title", "doi", "volume"), recovery: str = "error", outer: bool = True) -> DataFrame:
+    """A row per entry beside the row's other columns; ``outer`` keeps rows without entries."""
+    unfold = F.inline_outer if outer else F.inline
+    others = [c for c in df.columns if c != source]
+    return df.withColumn("_entries", B.entries(source, fields=fields, recovery=recovery)).select(*others, unfold("_entries"))
+
+
+def explode_blocks(df: DataFrame, source: str = "bibtex") -> DataFrame:
+    return df.withColumn("_blocks", B.raw_blocks(source)).select(*[c for c in df.columns if c != source], F.inline("_blocks"))
+
+
+def explode_fields(df: DataFrame, source: str = "bibtex") -> DataFrame:
+    return df.withColumn("_fields", B.raw_fields(source)).select(*[c for c in df.columns if c != source], F.inline("_fields"))
+
+
+def dedupe_entries(entries: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """First row of each group of equal ``by`` values; rows with a null or empty value all stay."""
+    value = F.concat_ws("\x1f", *[F.lower(F.regexp_replace(F.col(c).cast("string"), r"[^\p{L}\p{N}]", "")) for c in by])
+    first = entries.withColumn("_value", value)
+    blank = first.filter(F.regexp_replace("_value", "\x1f", "") == "").drop("_value")
+    kept = first.filter(F.regexp_replace("_value", "\x1f", "") != "").withColumn("_n", F.row_number().over(Window.partitionBy("_value").orderBy(order))).filter("_n = 1").drop("_value", "_n")
+    return kept.unionByName(blank)
+
+
+def disambiguate(citations: DataFrame, by: Sequence[str], order: str, column: str = "suffix") -> DataFrame:
+    """A letter for each row of a group of more than one, by ``order``; empty alone."""
+    ordered, whole = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+    letter = F.char(F.lit(96) + (F.row_number().over(ordered) - 1) % 26 + 1)
+    return citations.withColumn(column, F.when(F.count("*").over(whole) > 1, letter).otherwise(F.lit("")))
+
+
+def number_citations(citations: DataFrame, document: str, key: str, order: str, column: str = "number") -> DataFrame:
+    """Numbers by first citation within each document."""
+    first = citations.groupBy(document, key).agg(F.min(order).alias("_first"))
+    numbered = first.withColumn(column, F.row_number().over(Window.partitionBy(document).orderBy("_first", key))).drop("_first")
+    return citations.join(numbered, [document, key])
+
+
+def missing_references(citations: DataFrame, entries: DataFrame, on: Sequence[str]) -> DataFrame:
+    return citations.join(entries, list(on), "left_anti")
+
+
+def render_documents(citations: DataFrame, libraries: DataFrame, *, style: str = "apa") -> DataFrame:
+    """All citations of each document, in order, against its library.
+
+    ``citations(doc_id, ord, key, locator)`` and ``libraries(doc_id, bibtex)``
+    give ``doc_id, ord, text, html, bibliography``; the first row of a document
+    carries the bibliography of what it cites.  A document is one group.
+    """
+    runtime.ship(citations.sparkSession)
+    of = _cite.style(style)
+    schema = "doc_id bigint, ord int, text string, html string, bibliography string"
+
+    def run(cited: pa.Table, held: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(cited.column(c).to_pylist() for c in ("ord", "key", "locator"))), key=lambda r: r[0])
+        out, doc_id = [], cited.column("doc_id")[0].as_py() if rows else None
+        if rows and held.num_rows:
+            try:
+                library = _library.parse_bibtex(held.column("bibtex")[0].as_py() or "")
+                done, (text, _) = _cite.render_document(library, [(str(o), [_cite.Cite(k, at)]) for o, k, at in rows], of)
+                out = [(doc_id, int(name), r.text, r.html, text if not i else None) for i, (name, r) in enumerate(done)]
+            except (_library.ParseFailure, KeyError):
+                out = [(doc_id, o, None, None, None) for o, _, _ in rows]
+        columns = list(zip(*out)) if out else [[]] * 5
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "ord", "text", "html", "bibliography"), columns, kinds)})
+
+    return citations.groupBy("doc_id").cogroup(libraries.groupBy("doc_id")).applyInArrow(run, schema)

@@ -1,0 +1,178 @@
+"""Registered queries of the bibliography operators, with DuckDB SQL for the same rows.
+
+The tables hold no BibTeX, so each query writes it from orders (one article per
+order, in one source per row or per customer) and reads it back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia import functions as B
+from marginalia import operators as O
+from marginalia.runtime import ship, table
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, o_custkey, yr and the BibTeX of one article per order."""
+    ship(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("yr"), "o_orderpriority")
+    text = F.format_string("@article{o%d,\n author = {Customer%d, C},\n title = {Order %d},\n journal = {Priority %s},\n year = {%d},\n volume = {%d},\n doi = {10.5555/%d}\n}\n", "o_orderkey", "o_custkey", "o_orderkey", F.substring("o_orderpriority", 1, 1), "yr", F.col("o_orderkey") % 50 + 1, "o_orderkey")
+    return orders.withColumn("bibtex", text)
+
+
+def shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source per customer, with entries by order key; every seventh has an unclosed block."""
+    each = articles(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "yr", "bibtex"))).alias("all"))
+    joined = F.array_join(F.col("all.bibtex"), "\n")
+    broken = F.col("o_custkey") % 7 == 0
+    return each.select("o_custkey", F.col("all.o_orderkey").alias("orders"), F.when(broken, F.concat(joined, F.lit("\n@broken{never closed"))).otherwise(joined).alias("bibtex"))
+
+
+def _shelf(column, name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shelves(spark, sf_dir).select("o_custkey", column().alias(name))
+
+    return query
+
+
+def _article(column, name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return articles(spark, sf_dir).select("o_orderkey", column().alias(name))
+
+    return query
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = O.explode_entries(shelves(spark, sf_dir).select("o_custkey", "bibtex"), fields=("key", "entry_type", "title", "volume", "doi"), recovery="report")
+    return rows
+
+
+def explode_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = O.explode_entries(shelves(spark, sf_dir).select("o_custkey", "bibtex"), recovery="report", outer=False)
+    wanted = table(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.format_string("o%d", "o_orderkey").alias("key"))
+    return rows.join(wanted, "key", "left_semi").select("o_custkey", "key", "title")
+
+
+def year_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.disambiguate(articles(spark, sf_dir).select("o_orderkey", "o_custkey", "yr"), ["o_custkey", "yr"], "o_orderkey")
+
+
+def number_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("key"), F.col("l_linenumber").alias("ord"))
+    return O.number_citations(lines, "doc", "key", "ord").select("doc", "key", "ord", F.col("number").cast("bigint").alias("number"))
+
+
+def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = table(spark, sf_dir, "orders").select("o_custkey").distinct().select(F.col("o_custkey").alias("key"))
+    held = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("key"))
+    return O.missing_references(cited, held, ["key"])
+
+
+def dedupe_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return O.dedupe_entries(parts, ["p_type"], "p_partkey")
+
+
+def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = O.explode_blocks(shelves(spark, sf_dir).select("o_custkey", "bibtex"))
+    return rows.groupBy("o_custkey", "kind").agg(F.count("*").alias("n"), F.sum(F.col("span_end") - F.col("span_start")).alias("size")).filter("kind IN ('entry', 'failed')")
+
+
+def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = O.explode_fields(articles(spark, sf_dir).select("o_orderkey", "bibtex"))
+    return rows.select("o_orderkey", F.col("field_no").cast("bigint").alias("field_no"), "name", "value", "value_mode")
+
+
+def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = shelves(spark, sf_dir).filter("o_custkey % 7 <> 0")
+    cited = held.select(F.col("o_custkey").alias("doc_id"), F.posexplode("orders").alias("ord", "o")).select("doc_id", "ord", F.format_string("o%d", "o").alias("key"), F.lit(None).cast("string").alias("locator"))
+    return O.render_documents(cited, held.select(F.col("o_custkey").alias("doc_id"), "bibtex"), style="ieee").select("doc_id", "ord", "text")
+
+
+def _keys_of(n: int):
+    return F.transform(F.slice("orders", 1, n), lambda o: F.format_string("o%d", o))
+
+
+QUERIES = {
+    "entries": entries,
+    "explode_lookup": explode_lookup,
+    "entry_count": _shelf(lambda: B.entry_count("bibtex"), "entry_count"),
+    "recovered_count": _shelf(lambda: B.entry_count("bibtex", recovery="report"), "entry_count"),
+    "can_parse": _shelf(lambda: B.can_parse("bibtex"), "can_parse"),
+    "has_diagnostics": _shelf(lambda: B.has_diagnostics("bibtex", recovery="report"), "has_diagnostics"),
+    "diagnostics": _shelf(lambda: F.size(B.diagnostics("bibtex", recovery="report")).cast("bigint"), "n_diagnostics"),
+    "parse_report": _shelf(lambda: F.when(B.parse_report("bibtex")["ok"], "ok").otherwise("failed"), "state"),
+    "keys": _shelf(lambda: F.array_join(B.keys("bibtex", recovery="report"), ","), "keys"),
+    "to_entry_json": _article(lambda: F.get_json_object(B.to_entry_json("bibtex"), "$[0].serial-number.doi"), "doi"),
+    "cite": _article(lambda: B.cite("bibtex", F.format_string("o%d", "o_orderkey")), "cite"),
+    "cite_html": _article(lambda: B.cite_html("bibtex", F.format_string("o%d", "o_orderkey"), style="chicago-author-date"), "cite_html"),
+    "cite_rendered": _article(lambda: B.cite_rendered("bibtex", F.format_string("o%d", "o_orderkey"), style="ieee")["text"], "cite"),
+    "cite_each": _shelf(lambda: F.array_join(B.cite_each("bibtex", _keys_of(9), style="ieee", recovery="report"), " "), "cites"),
+    "cite_each_html": _shelf(lambda: F.size(B.cite_each_html("bibtex", _keys_of(9), recovery="report")).cast("bigint"), "n"),
+    "cite_each_rendered": _shelf(lambda: F.array_join(B.cite_each_rendered("bibtex", _keys_of(1), recovery="report")["text"], " "), "cites"),
+    "cite_group": _shelf(lambda: B.cite_group("bibtex", _keys_of(3), style="ieee", recovery="report"), "cite"),
+    "cite_group_html": _shelf(lambda: B.cite_group_html("bibtex", _keys_of(1), recovery="report"), "cite"),
+    "cite_group_rendered": _shelf(lambda: B.cite_group_rendered("bibtex", _keys_of(1), style="chicago-author-date", recovery="report")["html"], "cite"),
+    "full_bibliography_text": _article(lambda: B.full_bibliography_text("bibtex"), "bibliography"),
+    "full_bibliography_html": _article(lambda: B.full_bibliography_html("bibtex"), "bibliography"),
+    "full_bibliography_rendered": _article(lambda: B.full_bibliography_rendered("bibtex", style="ieee")["text"], "bibliography"),
+    "tidy_bibtex": _article(lambda: B.tidy_bibtex("bibtex", numeric=True, sort_fields=["title", "year"], omit=["journal"]), "bibtex"),
+    "tidy_bibtex_report": _shelf(lambda: F.coalesce(B.tidy_bibtex_report("bibtex")["count"].cast("bigint"), F.lit(-1)), "n"),
+    "generate_keys": _article(lambda: B.keys(B.tidy_bibtex("bibtex", generate_keys=True))[0], "key"),
+    "set_field": _article(lambda: B.set_field("bibtex", F.format_string("o%d", "o_orderkey"), F.lit("title"), F.lit("New title")), "bibtex"),
+    "raw_blocks": raw_blocks,
+    "raw_fields": raw_fields,
+    "year_suffix": year_suffix,
+    "number_citations": number_citations,
+    "missing_references": missing_references,
+    "dedupe_entries": dedupe_entries,
+    "render_documents": render_documents,
+}
+
+_FAMILY = "'Customer' || o_custkey"
+_YEAR = "year(o_orderdate)"
+_VOLUME = "(o_orderkey % 50 + 1)"
+_JOURNAL = "'Priority ' || substr(o_orderpriority, 1, 1)"
+_BIB = f"""('@article{{o' || o_orderkey || ',' || chr(10) || ' author = {{Customer' || o_custkey || ', C}},' || chr(10) || ' title = {{Order ' || o_orderkey || '}},' || chr(10) || ' journal = {{' || {_JOURNAL} || '}},' || chr(10)
+ || ' year = {{' || {_YEAR} || '}},' || chr(10) || ' volume = {{' || {_VOLUME} || '}},' || chr(10) || ' doi = {{10.5555/' || o_orderkey || '}}' || chr(10) || '}}' || chr(10))"""
+_BY = "FROM orders GROUP BY o_custkey"
+_FIRST = f"SELECT o_custkey, arg_min({_YEAR}, o_orderkey) AS yr FROM orders GROUP BY o_custkey"
+
+ORACLE_SQL = {
+    "entries": f"SELECT o_custkey, 'o' || o_orderkey AS key, 'Article' AS entry_type, 'Order ' || o_orderkey AS title, CAST({_VOLUME} AS VARCHAR) AS volume, '10.5555/' || o_orderkey AS doi FROM orders",
+    "explode_lookup": "SELECT o_custkey, 'o' || o_orderkey AS key, 'Order ' || o_orderkey AS title FROM orders WHERE o_totalprice > 200000",
+    "entry_count": f"SELECT o_custkey, CAST(CASE WHEN o_custkey % 7 <> 0 THEN count(*) END AS INT) AS entry_count {_BY}",
+    "recovered_count": f"SELECT o_custkey, CAST(count(*) AS INT) AS entry_count {_BY}",
+    "can_parse": "SELECT DISTINCT o_custkey, o_custkey % 7 <> 0 AS can_parse FROM orders",
+    "has_diagnostics": "SELECT DISTINCT o_custkey, o_custkey % 7 = 0 AS has_diagnostics FROM orders",
+    "diagnostics": "SELECT DISTINCT o_custkey, CAST(CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_diagnostics FROM orders",
+    "parse_report": "SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS state FROM orders",
+    "keys": f"SELECT o_custkey, string_agg('o' || o_orderkey, ',' ORDER BY o_orderkey) AS keys {_BY}",
+    "to_entry_json": "SELECT o_orderkey, '10.5555/' || o_orderkey AS doi FROM orders",
+    "cite": f"SELECT o_orderkey, '(' || {_FAMILY} || ', ' || {_YEAR} || ')' AS cite FROM orders",
+    "cite_html": f"SELECT o_orderkey, '(' || {_FAMILY} || ' ' || {_YEAR} || ')' AS cite_html FROM orders",
+    "cite_rendered": "SELECT o_orderkey, '[1]' AS cite FROM orders",
+    "cite_each": "WITH r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT o_custkey, string_agg('[' || n || ']', ' ' ORDER BY n) AS cites FROM r WHERE n <= 9 GROUP BY o_custkey",
+    "cite_each_html": f"SELECT o_custkey, CAST(least(count(*), 9) AS BIGINT) AS n {_BY}",
+    "cite_each_rendered": f"SELECT o_custkey, '(' || {_FAMILY} || ', ' || yr || ')' AS cites FROM ({_FIRST})",
+    "cite_group": "WITH r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT o_custkey, string_agg('[' || n || ']', ', ' ORDER BY n) AS cite FROM r WHERE n <= 3 GROUP BY o_custkey",
+    "cite_group_html": f"SELECT o_custkey, '(' || {_FAMILY} || ', ' || yr || ')' AS cite FROM ({_FIRST})",
+    "cite_group_rendered": f"SELECT o_custkey, '(' || {_FAMILY} || ' ' || yr || ')' AS cite FROM ({_FIRST})",
+    "full_bibliography_text": f"SELECT o_orderkey, {_FAMILY} || ', C. (' || {_YEAR} || '). Order ' || o_orderkey || '. ' || {_JOURNAL} || ', ' || {_VOLUME} || '. https://doi.org/10.5555/' || o_orderkey AS bibliography FROM orders",
+    "full_bibliography_html": f"""SELECT o_orderkey, '<div class="csl-entry" data-key="o' || o_orderkey || '">' || {_FAMILY} || ', C. (' || {_YEAR} || '). Order ' || o_orderkey || '. <i>' || {_JOURNAL} || '</i>, <i>' || {_VOLUME} || '</i>. <a href="https://doi.org/10.5555/' || o_orderkey || '">https://doi.org/10.5555/' || o_orderkey || '</a></div>' AS bibliography FROM orders""",
+    "full_bibliography_rendered": f"SELECT o_orderkey, '[1] C. ' || {_FAMILY} || ', “Order ' || o_orderkey || ',” ' || {_JOURNAL} || ', vol. ' || {_VOLUME} || ', ' || {_YEAR} || ', doi: 10.5555/' || o_orderkey || '.' AS bibliography FROM orders",
+    "tidy_bibtex": f"""SELECT o_orderkey, '@article{{o' || o_orderkey || ',' || chr(10) || '  title         = {{Order ' || o_orderkey || '}},' || chr(10) || '  year          = ' || {_YEAR} || ',' || chr(10)
+ || '  author        = {{' || {_FAMILY} || ', C}},' || chr(10) || '  volume        = ' || {_VOLUME} || ',' || chr(10) || '  doi           = {{10.5555/' || o_orderkey || '}}' || chr(10) || '}}' || chr(10) AS bibtex FROM orders""",
+    "tidy_bibtex_report": f"SELECT o_custkey, CAST(CASE WHEN o_custkey % 7 = 0 THEN -1 ELSE count(*) END AS BIGINT) AS n {_BY}",
+    "generate_keys": f"SELECT o_orderkey, 'customer' || o_custkey || {_YEAR} || 'order' AS key FROM orders",
+    "set_field": f"SELECT o_orderkey, replace({_BIB}, 'title = {{Order ' || o_orderkey || '}}', 'title = {{New title}}') AS bibtex FROM orders",
+    "raw_blocks": f"SELECT o_custkey, 'entry' AS kind, count(*) AS n, CAST(sum(length({_BIB}) - 1) AS BIGINT) AS size {_BY} UNION ALL SELECT DISTINCT o_custkey, 'failed', 1, length('@broken{{never closed') FROM orders WHERE o_custkey % 7 = 0",
+    "raw_fields": " UNION ALL ".join(f"SELECT o_orderkey, CAST({i} AS BIGINT) AS field_no, '{n}' AS name, CAST({v} AS VARCHAR) AS value, 'Braced' AS value_mode FROM orders" for i, (n, v) in enumerate((("author", f"{_FAMILY} || ', C'"), ("title", "'Order ' || o_orderkey"), ("journal", _JOURNAL), ("year", _YEAR), ("volume", _VOLUME), ("doi", "'10.5555/' || o_orderkey")))),
+    "year_suffix": f"SELECT o_orderkey, o_custkey, CAST({_YEAR} AS INT) AS yr, CASE WHEN count(*) OVER (PARTITION BY o_custkey, {_YEAR}) > 1 THEN chr(CAST(96 + (row_number() OVER (PARTITION BY o_custkey, {_YEAR} ORDER BY o_orderkey) - 1) % 26 + 1 AS INT)) ELSE '' END AS suffix FROM orders",
+    "number_citations": "WITH f AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) AS number FROM lineitem GROUP BY 1, 2) SELECT l_orderkey AS doc, l_partkey AS key, l_linenumber AS ord, number FROM lineitem JOIN f USING (l_orderkey, l_partkey)",
+    "missing_references": "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)",
+    "dedupe_entries": "SELECT p_partkey, p_type FROM part QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(p_type, '[^a-zA-Z0-9]', '', 'g')) ORDER BY p_partkey) = 1",
+    "render_documents": "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS ord, '[' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || ']' AS text FROM orders WHERE o_custkey % 7 <> 0",
+}

@@ -1,0 +1,25 @@
+"""Bibliography files as DataFrames, and back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marginalia.core import library as _library
+
+_DECODED = T.StructType().add("text", T.StringType()).add("diagnostics", T.ArrayType(T.StringType()))
+
+
+def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
+    """path, format, bibtex and diagnostics of ``.bib``, ``.yaml`` and ``.yml`` files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    decoded = files.select("path", suffix.alias("format"), F.udf(_library.decode, _DECODED, useArrow=True)("content").alias("d"))
+    known = F.when(F.col("format").isin("bib", "yaml", "yml"), F.col("format")).otherwise(F.raise_error(F.concat(F.lit("unsupported bibliography extension "), F.col("format"))))
+    return decoded.select("path", known.alias("format"), F.col("d.text").alias("bibtex"), F.col("d.diagnostics").alias("diagnostics"))
+
+
+def write_bibliography(df: DataFrame, folder: str, source: str = "bibtex") -> None:
+    """The sources as text files below ``folder``."""
+    df.select(F.col(source).alias("value")).write.mode("errorifexists").text(folder)
