@@ -42,11 +42,11 @@ TEMPLATES = [
     ("apache-2", "licensed under the apache license version 2 0"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
+    ("lgpl-3", "gnu lesser general public license version 3"),
+    ("mpl-2", "mozilla public license v 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0"),
 ]
 THRESHOLD = 0.9
 #: A word after lower-casing, what lies between words, and where blocks end.
