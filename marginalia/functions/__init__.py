@@ -224,30 +224,28 @@ def tidy_bibtex(bibtex, **options) -> Column:
     return tidy_bibtex_report(bibtex, **options)["bibtex"].alias("tidy_bibtex")
 
 
+def _blocks(source: str) -> list[tuple]:
+    blocks = _scan.scan(source)
+    at = _scan.byte_spans(source, [p for b in blocks for p in (b.start, b.end)])
+    return [(i, b.kind, b.raw, b.value, b.key, b.error, at[b.start], at[b.end]) for i, b in enumerate(blocks)]
+
+
+def _field_rows(source: str) -> list[tuple]:
+    found = [b.entry for b in _scan.scan(source) if b.entry]
+    at = _scan.byte_spans(source, [p for e in found for f in e.fields for p in (f.start, f.end)])
+    return [(i, e.key, e.kind, k, f.name, f.value, f.mode, [(a.value, a.mode) for a in f.atoms], at[f.start], at[f.end]) for i, e in enumerate(found) for k, f in enumerate(e.fields)]
+
+
 def raw_blocks(bibtex) -> Column:
     """Blocks of each raw source with kinds and byte spans."""
 
-    def work(source):
-        if source is None:
-            return None
-        blocks = _scan.scan(source)
-        at = _scan.byte_spans(source, [p for b in blocks for p in (b.start, b.end)])
-        return [(i, b.kind, b.raw, b.value, b.key, b.error, at[b.start], at[b.end]) for i, b in enumerate(blocks)]
-
-    return _apply(work, T.ArrayType(BLOCK), bibtex).alias("raw_blocks")
+    return _apply(lambda source: None if source is None else _blocks(source), T.ArrayType(BLOCK), bibtex).alias("raw_blocks")
 
 
 def raw_fields(bibtex) -> Column:
     """Fields of each raw source, duplicates included, with byte spans of their inner text."""
 
-    def work(source):
-        if source is None:
-            return None
-        found = [b.entry for b in _scan.scan(source) if b.entry]
-        at = _scan.byte_spans(source, [p for e in found for f in e.fields for p in (f.start, f.end)])
-        return [(i, e.key, e.kind, k, f.name, f.value, f.mode, [(a.value, a.mode) for a in f.atoms], at[f.start], at[f.end]) for i, e in enumerate(found) for k, f in enumerate(e.fields)]
-
-    return _apply(work, T.ArrayType(FIELD), bibtex).alias("raw_fields")
+    return _apply(lambda source: None if source is None else _field_rows(source), T.ArrayType(FIELD), bibtex).alias("raw_fields")
 
 
 def set_field(bibtex, key, field, value) -> Column:
@@ -287,26 +285,99 @@ def install() -> None:
 
 
 def register(spark: SparkSession, prefix: str = "bib_") -> None:
-    """SQL functions with default options: ``bib_keys(text)``, ``bib_cite(text, key)`` and so on."""
-    texts, single = T.StringType(), {"report": (_report(True), REPORT)}
+    """All functions for SQL, and three table functions.
+
+    Wide functions are Arrow UDFs that take their options as arguments
+    (``strict``, or ``style`` and ``strict``); narrow ones are SQL functions
+    over their fields: ``bib_cite(source, key, style => 'ieee')``.
+    """
+
+    def report(source, strict):
+        return _report(strict)(source)
+
+    def as_json(source, strict):
+        got = None if source is None else _parsed(source, strict)
+        return None if got is None or isinstance(got, str) else got.to_json()
+
+    def listed(source, strict):
+        got = None if source is None else _parsed(source, strict)
+        return None if got is None or isinstance(got, str) else [tuple(r.project(f) for f in ("key", "entry_type", "title", "doi", "volume")) for r in got.records]
 
-    def by_key(render, returns):
-        def work(source, wanted):
-            got = None if source is None or wanted is None else _parsed(source, True)
-            return None if got is None or isinstance(got, str) else render(got, wanted)
+    def rendering(render):
+        def work(source, wanted, style, strict):
+            got = None if source is None or wanted is None else _parsed(source, strict)
+            return None if got is None or isinstance(got, str) else render(got, wanted, _cite.style(style))
 
-        return F.udf(work, returns, useArrow=True)
+        return work
 
-    spark.udf.register(prefix + "report", F.udf(*single["report"], useArrow=True))
-    spark.udf.register(prefix + "keys", F.udf(lambda s: _report(True)(s)[2], _TEXTS, useArrow=True))
-    spark.udf.register(prefix + "entry_count", F.udf(lambda s: _report(True)(s)[1], T.IntegerType(), useArrow=True))
-    spark.udf.register(prefix + "can_parse", F.udf(lambda s: _report(True)(s)[0], T.BooleanType(), useArrow=True))
-    spark.udf.register(prefix + "cite", by_key(lambda lib, k: _both(_cite.cite_group(lib, [_cite.Cite(k)], "apa")), RENDERED))
-    spark.udf.register(prefix + "tidy", F.udf(lambda s: None if s is None else _tidied(s), texts, useArrow=True))
+    def each(lib, wanted, of):
+        got = None if any(k is None for k in wanted) else _cite.cite_each(lib, list(wanted), of)
+        return None if got is None else [_both(r) for r in got]
 
+    def group(lib, wanted, of):
+        return None if any(k is None for k in wanted) else _both(_cite.cite_group(lib, [_cite.Cite(k) for k in wanted], of))
 
-def _tidied(source: str) -> str | None:
-    try:
-        return _tidy.tidy(source).bibtex
-    except _tidy.TidySyntaxError:
-        return None
+    def formatted(source):
+        if source is None:
+            return None
+        try:
+            got = _tidy.tidy(source)
+        except _tidy.TidySyntaxError as error:
+            return (False, None, None, None, error.display())
+        return (True, got.bibtex, got.count, [(w.code.lower(), w.rule, w.message) for w in got.warnings], None)
+
+    row = T.StructType([T.StructField(f, T.StringType()) for f in ("key", "entry_type", "title", "doi", "volume")])
+    wide = {
+        "parse_report_of": (report, REPORT),
+        "to_entry_json_of": (as_json, T.StringType()),
+        "entries_of": (listed, T.ArrayType(row)),
+        "cite_of": (rendering(lambda lib, k, of: _both(_cite.cite_group(lib, [_cite.Cite(k)], of))), RENDERED),
+        "cite_each_of": (rendering(each), T.ArrayType(RENDERED)),
+        "cite_group_of": (rendering(group), RENDERED),
+        "full_bibliography_of": (rendering(lambda lib, _, of: _cite.bibliography(lib.records, of)), RENDERED),
+        "tidy_bibtex_report": (formatted, TIDIED),
+    }
+    for name, (work, returns) in wide.items():
+        spark.udf.register(prefix + name, F.udf(work, returns, useArrow=True))
+    source, strict, styled = "s STRING", "strict BOOLEAN DEFAULT true", "style STRING DEFAULT 'apa', strict BOOLEAN DEFAULT true"
+    one, many = f"{source}, k STRING, {styled}", f"{source}, k ARRAY<STRING>, {styled}"
+    narrow = {
+        "parse_report": (f"{source}, {strict}", f"{prefix}parse_report_of(s, strict)"),
+        "entry_count": (f"{source}, {strict}", f"{prefix}parse_report_of(s, strict).entry_count"),
+        "can_parse": (f"{source}, {strict}", f"{prefix}parse_report_of(s, strict).ok"),
+        "keys": (f"{source}, {strict}", f"{prefix}parse_report_of(s, strict).keys"),
+        "diagnostics": (f"{source}, {strict}", f"{prefix}parse_report_of(s, strict).diagnostics"),
+        "has_diagnostics": (f"{source}, {strict}", f"size({prefix}parse_report_of(s, strict).diagnostics) > 0"),
+        "entries": (f"{source}, {strict}", f"{prefix}entries_of(s, strict)"),
+        "to_entry_json": (f"{source}, {strict}", f"{prefix}to_entry_json_of(s, strict)"),
+        "cite_rendered": (one, f"{prefix}cite_of(s, k, style, strict)"),
+        "cite": (one, f"{prefix}cite_of(s, k, style, strict).text"),
+        "cite_html": (one, f"{prefix}cite_of(s, k, style, strict).html"),
+        "cite_each_rendered": (many, f"{prefix}cite_each_of(s, k, style, strict)"),
+        "cite_each": (many, f"{prefix}cite_each_of(s, k, style, strict).text"),
+        "cite_each_html": (many, f"{prefix}cite_each_of(s, k, style, strict).html"),
+        "cite_group_rendered": (many, f"{prefix}cite_group_of(s, k, style, strict)"),
+        "cite_group": (many, f"{prefix}cite_group_of(s, k, style, strict).text"),
+        "cite_group_html": (many, f"{prefix}cite_group_of(s, k, style, strict).html"),
+        "full_bibliography_rendered": (f"{source}, {styled}", f"{prefix}full_bibliography_of(s, '', style, strict)"),
+        "full_bibliography_text": (f"{source}, {styled}", f"{prefix}full_bibliography_of(s, '', style, strict).text"),
+        "full_bibliography_html": (f"{source}, {styled}", f"{prefix}full_bibliography_of(s, '', style, strict).html"),
+        "tidy_bibtex": (source, f"{prefix}tidy_bibtex_report(s).bibtex"),
+    }
+    for name, (arguments, body) in narrow.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({arguments}) RETURN {body}")
+
+    class Blocks:
+        def eval(self, source: str):
+            yield from _blocks(source) if source is not None else ()
+
+    class Fields:
+        def eval(self, source: str):
+            yield from _field_rows(source) if source is not None else ()
+
+    class Entries:
+        def eval(self, source: str):
+            yield from listed(source, True) or ()
+
+    for name, work, returns in (("blocks", Blocks, BLOCK), ("fields", Fields, FIELD), ("entry_rows", Entries, row)):
+        spark.udtf.register(prefix + name, F.udtf(work, returnType=returns))

@@ -131,6 +131,69 @@ QUERIES = {
     "render_documents": render_documents,
 }
 
+#: A few articles of a customer whose raw text needs every kind of formatting.
+def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, o_custkey and an untidy entry: caps, quotes, bare numbers, doubled and empty fields."""
+    ship(spark)
+    orders = table(spark, sf_dir, "orders")
+    text = F.format_string('@ARTICLE{o%d, TITLE={{Big}   Title %d}, Title={again}, month={%s}, year={%d}, pages="1-%d", note={}, author={A B and C D and E F}, url={http://x/a_b}}', "o_orderkey", "o_orderkey", F.date_format("o_orderdate", "MMMM"), F.year("o_orderdate"), F.col("o_orderkey") % 90 + 10)
+    return orders.select("o_orderkey", "o_custkey", text.alias("bibtex"))
+
+
+def _option(**options):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return messy(spark, sf_dir).select("o_orderkey", B.tidy_bibtex("bibtex", **options).alias("bibtex"))
+
+    return query
+
+
+def _messy_sql(title="{{Big} Title %s}", again=False, month="{%s}", year="{%s}", pages='"1--%s"', note="{}", author="{A B and C D and E F}", url="{http://x/a_b}", order=None, indent="  ", align=14, comma="", kind="article", case=str.lower) -> str:
+    """SQL for the formatted text of :func:`messy`, field by field."""
+    quoted = {"TITLE": (title, "o_orderkey"), "Title": ("{again}" if again else None, None), "month": (month, "strftime(o_orderdate, '%B')"), "year": (year, "year(o_orderdate)"), "pages": (pages, "(o_orderkey % 90 + 10)"), "note": (note, None), "author": (author, None), "url": (url, None)}
+    lines = []
+    for name in order or quoted:
+        text, value = quoted[name]
+        if text is None:
+            continue
+        shown = case(name)
+        head = indent + (shown + " " * max(1, align - len(shown)) if align else shown + " ") + "= "
+        before, mark, after = text.partition("%s")
+        lines.append(f"'{head}{before}'" + (f" || {value} || '{after}'" if mark else ""))
+    return f"SELECT o_orderkey, '@{kind}{{o' || o_orderkey || ',' || chr(10) || " + " || ',' || chr(10) || ".join(lines) + f" || '{comma}' || chr(10) || '}}' || chr(10) AS bibtex FROM orders"
+
+
+def tidy_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of each customer's source after sorting its entries by year, then key, both descending."""
+    held = shelves(spark, sf_dir).filter("o_custkey % 7 <> 0")
+    return held.select("o_custkey", F.array_join(B.keys(B.tidy_bibtex("bibtex", sort=["-year", "-doi"])), ",").alias("keys"))
+
+
+def tidy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries left of a source in which every order occurs twice under two keys and one DOI."""
+    each = articles(spark, sf_dir).withColumn("bibtex", F.concat("bibtex", F.replace("bibtex", F.lit("{o"), F.lit("{copy"))))
+    held = each.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("bibtex")), "\n").alias("bibtex"))
+    report = B.tidy_bibtex_report("bibtex", duplicates=["doi"], merge="first")
+    return held.select("o_custkey", report["count"].cast("bigint").alias("n_read"), B.entry_count(report["bibtex"]).cast("bigint").alias("n_left"), F.size(report["warnings"]).cast("bigint").alias("n_warned"))
+
+
+QUERIES |= {
+    "tidy_defaults": _option(),
+    "tidy_omit_empty": _option(omit=["url"], remove_empty_fields=True),
+    "tidy_keep_duplicate_fields": _option(remove_duplicate_fields=False),
+    "tidy_months": _option(months=True),
+    "tidy_curly": _option(curly=True),
+    "tidy_max_authors": _option(max_authors=2),
+    "tidy_encode_urls": _option(encode_urls=True),
+    "tidy_remove_braces": _option(remove_braces=True),
+    "tidy_enclosing_braces": _option(enclosing_braces=True),
+    "tidy_layout": _option(tab=True, align=20, trailing_commas=True),
+    "tidy_no_align": _option(align=False, space=4),
+    "tidy_no_lowercase": _option(lowercase=False),
+    "tidy_sort_fields": _option(sort_fields=True),
+    "tidy_sort": tidy_sort,
+    "tidy_duplicates": tidy_duplicates,
+}
+
 _FAMILY = "'Customer' || o_custkey"
 _YEAR = "year(o_orderdate)"
 _VOLUME = "(o_orderkey % 50 + 1)"
@@ -176,3 +239,21 @@ ORACLE_SQL = {
     "dedupe_entries": "SELECT p_partkey, p_type FROM part QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(p_type, '[^a-zA-Z0-9]', '', 'g')) ORDER BY p_partkey) = 1",
     "render_documents": "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS ord, '[' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || ']' AS text FROM orders WHERE o_custkey % 7 <> 0",
 }
+
+ORACLE_SQL |= {
+    "tidy_defaults": _messy_sql(),
+    "tidy_omit_empty": _messy_sql(order=["TITLE", "month", "year", "pages", "author"]),
+    "tidy_keep_duplicate_fields": _messy_sql(again=True),
+    "tidy_months": "WITH t AS (" + _messy_sql().replace("SELECT o_orderkey,", "SELECT o_orderkey, strftime(o_orderdate, '%B') AS m,", 1) + ") SELECT o_orderkey, replace(bibtex, '{' || m || '}', lower(substr(m, 1, 3))) AS bibtex FROM t",
+    "tidy_curly": _messy_sql(pages="{1--%s}"),
+    "tidy_max_authors": _messy_sql(author="{A B and C D and others}"),
+    "tidy_encode_urls": _messy_sql(url="{http://x/a\\%5Fb}"),
+    "tidy_remove_braces": _messy_sql(title="{Big Title %s}"),
+    "tidy_enclosing_braces": _messy_sql(title="{{{Big} Title %s}}"),
+    "tidy_layout": _messy_sql(indent="\t", align=20, comma=","),
+    "tidy_no_align": _messy_sql(indent="    ", align=0),
+    "tidy_no_lowercase": _messy_sql(kind="ARTICLE", case=str),
+    "tidy_sort_fields": _messy_sql(order=["TITLE", "author", "year", "month", "pages", "url", "note"]),
+    "tidy_sort": f"SELECT o_custkey, string_agg('o' || o_orderkey, ',' ORDER BY {_YEAR} DESC, '10.5555/' || o_orderkey DESC) AS keys FROM orders WHERE o_custkey % 7 <> 0 GROUP BY o_custkey",
+    "tidy_duplicates": f"SELECT o_custkey, 2 * count(*) AS n_read, count(*) AS n_left, count(*) AS n_warned {_BY}",
+}

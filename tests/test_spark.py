@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from marginalia import functions as B
 from marginalia import operators as O
-from marginalia import queries as Q
+from marginalia.plans import bibliography as Q
 from marginalia import sources
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +37,11 @@ def test_namespace_sql_and_one_evaluation(spark, rows):
     B.register(spark)
     rows.createOrReplaceTempView("sources")
     assert rows.select(F.col("bibtex").bib.cite("key")).columns == ["cite"]
-    assert spark.sql("SELECT bib_entry_count(bibtex) AS n FROM sources WHERE id = 1").first().n == 1
+    got = spark.sql("SELECT bib_entry_count(bibtex) AS n, bib_cite(bibtex, key, style => 'ieee') AS c, bib_cite_each(bibtex, keys) AS e, bib_full_bibliography_text(bibtex) AS b, bib_tidy_bibtex(bibtex) AS t, bib_has_diagnostics(bibtex, false) AS d FROM sources WHERE id = 1").first()
+    assert got.n == 1 and got.c == "[1]" and got.e == ["(Doe, 2024)"] and got.b.startswith("Doe, J. (2024)") and got.t.startswith("@article{doe2024,\n") and got.d is False
+    assert spark.sql("SELECT s.id, b.kind FROM sources s, LATERAL bib_blocks(s.bibtex) b").count() == 4
+    assert spark.sql("SELECT f.name FROM sources s, LATERAL bib_fields(s.bibtex) f WHERE s.id = 1").count() == 5
+    assert spark.sql("SELECT e.title FROM sources s, LATERAL bib_entry_rows(s.bibtex) e WHERE s.id = 1").first().title == "Fast"
     plan = rows.select(B.entry_count("bibtex"), B.can_parse("bibtex"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") <= 1
 
