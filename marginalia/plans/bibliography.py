@@ -17,7 +17,7 @@ from marginalia.runtime import ship, table
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, o_custkey, yr and the BibTeX of one article per order."""
     ship(spark)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("yr"), "o_orderpriority")
+    orders = table(spark, sf_dir, "orders", spread=True).select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("yr"), "o_orderpriority")
     text = F.format_string("@article{o%d,\n author = {Customer%d, C},\n title = {Order %d},\n journal = {Priority %s},\n year = {%d},\n volume = {%d},\n doi = {10.5555/%d}\n}\n", "o_orderkey", "o_custkey", "o_orderkey", F.substring("o_orderpriority", 1, 1), "yr", F.col("o_orderkey") % 50 + 1, "o_orderkey")
     return orders.withColumn("bibtex", text)
 
@@ -135,7 +135,7 @@ QUERIES = {
 def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, o_custkey and an untidy entry: caps, quotes, bare numbers, doubled and empty fields."""
     ship(spark)
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders", spread=True)
     text = F.format_string('@ARTICLE{o%d, TITLE={{Big}   Title %d}, Title={again}, month={%s}, year={%d}, pages="1-%d", note={}, author={A B and C D and E F}, url={http://x/a_b}}', "o_orderkey", "o_orderkey", F.date_format("o_orderdate", "MMMM"), F.year("o_orderdate"), F.col("o_orderkey") % 90 + 10)
     return orders.select("o_orderkey", "o_custkey", text.alias("bibtex"))
 

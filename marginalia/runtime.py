@@ -16,9 +16,15 @@ PACKAGE = Path(__file__).resolve().parent
 DEFAULT_SHARED = "file:///tmp/checkpoints/marginalia"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables in ``sf_dir``, read through Spark whatever the store."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False) -> DataFrame:
+    """One of the tables in ``sf_dir``, read through Spark whatever the store.
+
+    ``spread`` deals out a table that lies in fewer splits than there are cores
+    (one file with one row group is one task); larger tables are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
