@@ -10,48 +10,48 @@ from marginalia.runtime import table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents", spread=True))
 
 
 def op2_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return topk.top_k(table(spark, sf_dir, "embeddings", spread=True), F.col("vec_id") % 50 == 0)
 
 
 def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(table(spark, sf_dir, "pages", spread=True))
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_digest(table(spark, sf_dir, "documents"))
+    return audio.audio_digest(table(spark, sf_dir, "documents", spread=True))
 
 
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, out = table(spark, sf_dir, "documents"), quality.held_out(5, 0)
+    docs, out = table(spark, sf_dir, "documents", spread=True), quality.held_out(5, 0)
     forest = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~out)
     scored = quality.classify(docs, forest)
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
 def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+    return bpe.encode_documents(table(spark, sf_dir, "documents", spread=True))
 
 
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return warc.archive_round_trip(table(spark, sf_dir, "pages", spread=True))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    packed = packing.pack_documents(table(spark, sf_dir, "documents", spread=True))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.classes(table(spark, sf_dir, "documents"))
+    found = simhash.classes(table(spark, sf_dir, "documents", spread=True))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, out = table(spark, sf_dir, "documents"), langid.held_out(3, 1)
+    docs, out = table(spark, sf_dir, "documents", spread=True), langid.held_out(3, 1)
     model = langid.fit(docs, learn=~out)
     return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
