@@ -119,6 +119,18 @@ def to_entry_json(bibtex, *, recovery: str = "error") -> Column:
     return _apply(work, T.StringType(), bibtex).alias("to_entry_json")
 
 
+def select_keys(bibtex, selector: str, *, recovery: str = "error") -> Column:
+    """Keys of the entries that a selector such as ``article > periodical[volume]`` admits."""
+    _library.select(_library.Library([], []), selector)
+    strict = _strict(recovery)
+
+    def work(source):
+        got = None if source is None else _parsed(source, strict)
+        return None if got is None or isinstance(got, str) else [r.key for r in _library.select(got, selector)]
+
+    return _apply(work, _TEXTS, bibtex).alias("select_keys")
+
+
 # ---- cite ----------------------------------------------------------------
 
 

@@ -53,6 +53,31 @@ def number_citations(citations: DataFrame, document: str, key: str, order: str,
     return citations.join(numbered, [document, key])
 
 
+def citation_positions(citations: DataFrame, document: str, key: str, order: str, column: str = "position") -> DataFrame:
+    """Whether each citation is the first of its key in the document or a subsequent one."""
+    nth = F.row_number().over(Window.partitionBy(document, key).orderBy(order))
+    return citations.withColumn(column, F.when(nth == 1, "first").otherwise("subsequent"))
+
+
+def sort_entries(entries: DataFrame, by: Sequence[str], position: str) -> DataFrame:
+    """Rows by several keys (``-`` in front: descending), missing values last, ties by position."""
+    keys = [F.col(c.lstrip("-")).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in by]
+    return entries.orderBy(*keys, F.col(position))
+
+
+def assign_keys(entries: DataFrame, base: Sequence[str], within: Sequence[str], order: str, column: str = "new_key") -> DataFrame:
+    """Keys from lower-cased columns, numbered from one where they collide."""
+    plain = entries.withColumn("_base", F.lower(F.regexp_replace(F.concat_ws("", *base), r"[^\p{L}\p{N}]", "")))
+    group = Window.partitionBy(*within, "_base")
+    suffix = F.when(F.count("*").over(group) > 1, F.row_number().over(group.orderBy(order)).cast("string")).otherwise("")
+    return plain.withColumn(column, F.concat("_base", suffix)).drop("_base")
+
+
+def lookup(citations: DataFrame, entries: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Each citation with its entry's columns, null where the key is missing."""
+    return citations.join(entries, list(on), "left")
+
+
 def missing_references(citations: DataFrame, entries: DataFrame, on: Sequence[str]) -> DataFrame:
     return citations.join(entries, list(on), "left_anti")
 

@@ -176,7 +176,28 @@ def tidy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("o_custkey", report["count"].cast("bigint").alias("n_read"), B.entry_count(report["bibtex"]).cast("bigint").alias("n_left"), F.size(report["warnings"]).cast("bigint").alias("n_warned"))
 
 
+def citation_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return O.citation_positions(lines, "doc", "key", "ord")
+
+
+def assign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("yr"))
+    named = orders.withColumn("name", F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")))
+    return O.assign_keys(named, ["name", "yr"], ["o_custkey"], "o_orderkey").select("o_orderkey", "new_key")
+
+
+def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = table(spark, sf_dir, "orders").select("o_custkey", F.format_string("o%d", F.col("o_orderkey") + F.col("o_orderkey") % 3).alias("key"))
+    held = O.explode_entries(shelves(spark, sf_dir).select("o_custkey", "bibtex"), fields=("key", "title"), recovery="report")
+    return O.lookup(cited, held, ["o_custkey", "key"]).select("o_custkey", "key", "title")
+
+
 QUERIES |= {
+    "citation_positions": citation_positions,
+    "assign_keys": assign_keys,
+    "lookup": lookup,
+    "select_keys": _article(lambda: F.size(B.select_keys("bibtex", "article > periodical[volume] & !book")).cast("bigint"), "n"),
     "tidy_defaults": _option(),
     "tidy_omit_empty": _option(omit=["url"], remove_empty_fields=True),
     "tidy_keep_duplicate_fields": _option(remove_duplicate_fields=False),
@@ -241,6 +262,10 @@ ORACLE_SQL = {
 }
 
 ORACLE_SQL |= {
+    "citation_positions": "SELECT l_suppkey AS doc, l_partkey AS key, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 10 + l_linenumber) = 1 THEN 'first' ELSE 'subsequent' END AS position FROM lineitem",
+    "assign_keys": f"SELECT o_orderkey, 'customer' || o_custkey || {_YEAR} || CASE WHEN count(*) OVER (PARTITION BY o_custkey, {_YEAR}) > 1 THEN CAST(row_number() OVER (PARTITION BY o_custkey, {_YEAR} ORDER BY o_orderkey) AS VARCHAR) ELSE '' END AS new_key FROM orders",
+    "lookup": "SELECT c.o_custkey, 'o' || (c.o_orderkey + c.o_orderkey % 3) AS key, CASE WHEN e.o_orderkey IS NOT NULL THEN 'Order ' || e.o_orderkey END AS title FROM orders c LEFT JOIN orders e ON c.o_custkey = e.o_custkey AND e.o_orderkey = c.o_orderkey + c.o_orderkey % 3",
+    "select_keys": "SELECT o_orderkey, CAST(1 AS BIGINT) AS n FROM orders",
     "tidy_defaults": _messy_sql(),
     "tidy_omit_empty": _messy_sql(order=["TITLE", "month", "year", "pages", "author"]),
     "tidy_keep_duplicate_fields": _messy_sql(again=True),
