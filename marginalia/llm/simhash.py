@@ -143,7 +143,9 @@ def classes(docs: DataFrame, *, most_bits: int = 2, words_per_shingle: int = 3,
     linked = fps.join(member, fps["fp"] == member["node"]).select("fp", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     by_fp = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return told.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    # Written first, so that this join has a plain exchange on either side and a
+    # fingerprint shared by very many rows can be split over tasks.
+    return told.join(runtime.materialize(by_fp, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def pairs_by_force(values: list[int], most_bits: int) -> set[tuple[int, int]]:
