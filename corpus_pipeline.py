@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia import runtime
-from marginalia.llm import langid, packing, quality, simhash
+from marginalia.llm import langid, near_copies, packing, quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is less sure than this, or undetermined, is rejected.
@@ -34,15 +34,14 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component, that with the smallest id.
 
-    Rows that repeat the id of the kept document count as copies of it; of a
-    component without any id, one row stays.
+    Near copies are texts whose five-word shingles have a Jaccard similarity of
+    0.8 at least; all such pairs are found.  Rows that repeat the id of the kept
+    document count as copies of it; rows without an id stay.
     """
-    told = runtime.materialize(simhash.classes(docs), "classes")
-    kept = told.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(F.min("doc_id").alias("doc_id"))
-    ids = kept.filter("doc_id IS NOT NULL").select("doc_id")
-    named = docs.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.filter("doc_id IS NULL")
-    return named.unionByName(unnamed).select(*COLUMNS)
+    told = runtime.materialize(near_copies.classes(docs.select(*COLUMNS)), "classes")
+    kept = told.groupBy("component").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL")
+    named = docs.filter("doc_id IS NOT NULL").join(kept.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

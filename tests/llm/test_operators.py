@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import audio, bpe, components, html_text, langid, license_scan, packing, quality, queries, simhash, topk, warc
+from marginalia.llm import audio, bpe, components, html_text, langid, license_scan, near_copies, packing, quality, queries, simhash, topk, warc
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -368,3 +368,36 @@ def test_pipeline(spark):
     assert kept.filter("doc_id >= 10000").count() == 0
     packed = P.run(spark, SF)
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and packed.count() > 50
+
+
+@pytest.mark.parametrize("hot_bucket", [64, 3])
+def test_near_copies_by_force(spark, hot_bucket):
+    rng = random.Random(hot_bucket)
+    words = [f"w{k}" for k in range(400)]
+    passage = rng.choices(words, k=30)
+    texts = ["", None, "one two", "one two"]
+    for _ in range(25):
+        base = rng.choices(words, k=rng.randint(30, 200)) + (passage if rng.random() < 0.5 else [])
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            now = list(base)
+            for _ in range(rng.randint(1, 5)):
+                now[rng.randrange(len(now))] = rng.choice(words)
+            texts.append(" ".join(now))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0}
+    by = {}
+    for r in rows_of(near_copies.classes(docs, hot_bucket=hot_bucket)):
+        by.setdefault(r["component"], []).append(r["doc_id"])
+    assert sorted(sorted(x) for x in by.values() if len(x) > 1) == joined(want) and len(want) > 20
+
+
+def test_pipeline_drops_copies_with_edits(spark):
+    import corpus_pipeline as P
+
+    base = [f"word{k}" for k in range(120)]
+    edited = base[:30] + ["other"] + base[31:80] + ["another"] + base[81:]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(base[60:] + base[:20]))], "doc_id bigint, text string")
+    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("int")})
+    assert sorted(r["doc_id"] for r in rows_of(P.drop_near_duplicates(spark, docs, SF))) == [1, 3]
