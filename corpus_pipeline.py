@@ -32,16 +32,18 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component, that with the smallest id.
+    """Keeps one row of each near-duplicate component, that with the smallest id.
 
     Near copies are texts whose five-word shingles have a Jaccard similarity of
-    0.8 at least; all such pairs are found.  Rows that repeat the id of the kept
-    document count as copies of it; rows without an id stay.
+    0.8 at least; all such pairs are found.  Rows are told apart by a row key,
+    not by their id: copies without an id go like others, and a different text
+    that repeats an id stays.  An id comes before none, then the text's hash
+    decides.
     """
     told = runtime.materialize(near_copies.classes(docs.select(*COLUMNS)), "classes")
-    kept = told.groupBy("component").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL")
-    named = docs.filter("doc_id IS NOT NULL").join(kept.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"), "row")
+    kept = told.groupBy("component").agg(F.min(first)["row"].alias("row"))
+    return told.join(kept.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -401,3 +401,12 @@ def test_pipeline_drops_copies_with_edits(spark):
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(base[60:] + base[:20]))], "doc_id bigint, text string")
     docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("int")})
     assert sorted(r["doc_id"] for r in rows_of(P.drop_near_duplicates(spark, docs, SF))) == [1, 3]
+
+
+def test_pipeline_drops_copies_without_an_id(spark):
+    import corpus_pipeline as P
+
+    rows = [(None, "a copy without an id"), (5, "a copy without an id"), (None, "only without an id"), (None, "only without an id"), (7, "one text under the id"), (7, "quite another text under it"), (7, "one text under the id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("int")})
+    got = sorted((str(r["doc_id"]), r["text"]) for r in rows_of(P.drop_near_duplicates(spark, docs, SF)))
+    assert got == [("5", "a copy without an id"), ("7", "one text under the id"), ("7", "quite another text under it"), ("None", "only without an id")]
