@@ -13,16 +13,19 @@ from marginalia import runtime
 from marginalia.llm import langid, near_copies, packing, quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document whose language is less sure than this, or undetermined, is rejected.
-LEAST_LANGUAGE_SCORE = 0.2
+#: A document whose first language holds a smaller share of its letters, or does not look like it, is rejected.
+LEAST_LANGUAGE_SHARE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters or without a language that stands out."""
-    model = langid.fit(docs, learn=~langid.held_out(3, 1))
+    """Rejects documents without letters or without a language that stands out.
+
+    That is: most letters are in scripts of learned languages, and the words of
+    the language with most letters score in the range usual for that language.
+    """
+    model = langid.fit(docs, learn=~langid.held_out(3, 1), ranges=True)
     told = langid.identify(docs, model, keep=("text", "lang", "source", "n_chars"))
-    kept = told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*COLUMNS)
+    return told.filter(F.col("evidence") >= LEAST_LANGUAGE_SHARE).select(*COLUMNS)
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,6 +90,7 @@ class Model:
     scores: np.ndarray  # (grams + 1, languages); the last row is for unseen grams
     allowed: np.ndarray  # (scripts, languages)
     penalty: float = 12.0
+    usual: np.ndarray | None = None  # (languages, 3): least per-letter score of long texts, spread of a letter, letters seen
     index: dict[str, int] = field(default_factory=dict, repr=False)
     table: np.ndarray | None = field(default=None, repr=False)
 
@@ -115,8 +116,11 @@ class Model:
         return np.where(known, np.where(allowed, out, _BARRED), 0).astype(np.float32)
 
 
-def fit(docs: DataFrame, *, learn: Column | None = None, rows_per_language: int = 3000, max_languages: int = 512, max_grams: int = 400_000) -> Model:
-    """Learn from text and lang of the rows that ``learn`` admits (null: all)."""
+def fit(docs: DataFrame, *, learn: Column | None = None, rows_per_language: int = 3000, max_languages: int = 512, max_grams: int = 400_000, ranges: bool = False) -> Model:
+    """Learn from text and lang of the rows that ``learn`` admits (null: all).
+
+    ``ranges`` scores the sample once more for the model's ``usual`` range.
+    """
     spark = docs.sparkSession
     runtime.ship(spark)
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull()
@@ -157,7 +161,40 @@ def fit(docs: DataFrame, *, learn: Column | None = None, rows_per_language: int
         table[g, k] += n
     with np.errstate(invalid="ignore", divide="ignore"):
         allowed = np.nan_to_num(letters / letters.sum(axis=0)) >= 0.02
-    return Model(languages, grams, np.log(table / table.sum(axis=0)), allowed)
+    model = Model(languages, grams, np.log(table / table.sum(axis=0)), allowed)
+    if ranges:
+        model.usual = usual_range(sample, model)
+    return model
+
+
+def usual_range(sample: DataFrame, model: Model) -> np.ndarray:
+    """Per language of ``sample``: the least usual per-letter score of a long text, and the spread of one letter's.
+
+    The least is six quartile ranges below the median text; the spread is that
+    of words around their text, for texts of few letters.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lang, (words, emission, _) in zip(batch.column(0).to_pylist(), label_texts(batch.column(1).to_pylist(), model)):
+                own = emission[:, model.languages.index(lang)].astype(np.float64)
+                sizes = np.fromiter(map(len, words), np.int64, len(words))
+                used = (own != 0) & (own > _BARRED)
+                own, sizes = own[used], sizes[used]
+                if len(own):
+                    mean = own.sum() / sizes.sum()
+                    rows.append((lang, mean, float(((own - mean * sizes) ** 2).sum()), int(sizes.sum())))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            kinds = [pa.string(), pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "mean", "off", "letters"])
+
+    scored = sample.select("lang", "text").mapInArrow(score, "lang string, mean double, off double, letters bigint")
+    out = np.zeros((len(model.languages), 3))
+    for r in scored.groupBy("lang").agg(F.percentile_approx("mean", [0.25, 0.5, 0.75], 10_000).alias("q"), F.sum("off").alias("off"), F.sum("letters").alias("letters")).collect():
+        low, middle, high = r["q"]
+        out[model.languages.index(r["lang"])] = (middle - 6 * (high - low), np.sqrt(r["off"] / r["letters"]), r["letters"])
+    return out
 
 
 def viterbi(emission: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -233,17 +270,43 @@ def decide(words: list[str], emission: np.ndarray, labels: np.ndarray, model: Mo
     return model.languages[best], round(float(letters[best] / letters.sum()) * max(float(certain), 0.5 if letters[best] * 2 > letters.sum() else 0.0), 6)
 
 
+def evidence(words: list[str], emission: np.ndarray, labels: np.ndarray, model: Model) -> float:
+    """The share of letters of the language with most, or 0 where its words do not look like it.
+
+    Letters in scripts of no learned language count for none; where they are
+    the larger part, nothing stands out.  The words' per-letter score must lie
+    in the range usual for the language, four spreads wider for few letters.
+    """
+    if not words:
+        return 0.0
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    known = emission.any(axis=1)
+    if 2 * sizes[known].sum() < sizes.sum():
+        return 0.0
+    letters = np.bincount(labels[known], weights=sizes[known], minlength=len(model.languages))
+    best = int(letters.argmax())
+    mine = known & (labels == best)
+    least, spread, seen = model.usual[best]
+    score = emission[mine, best].sum(dtype=np.float64) / letters[best]
+    return float(letters[best] / sizes.sum()) if seen and score >= least - 4 * spread / np.sqrt(letters[best]) else 0.0
+
+
 def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, any ``keep`` columns, lang_pred and score of every row."""
+    """doc_id, any ``keep`` columns, lang_pred and score of every row; evidence too if the model has ranges."""
     runtime.ship(docs.sparkSession)
     named = [F.col("text"), F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(k) for k in keep]]
     chosen = docs.select(*named)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + ", lang_pred string, score double"
+    if model.usual is not None:
+        schema += ", evidence double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [decide(*x, model) for x in label_texts(batch.column(0).to_pylist(), model)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            got = [(*decide(*x, model), 0.0 if model.usual is None else evidence(*x, model)) for x in label_texts(batch.column(0).to_pylist(), model)]
+            more = {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())}
+            if model.usual is not None:
+                more["evidence"] = pa.array([g[2] for g in got], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more.values()], names=[*batch.schema.names[1:], *more])
 
     return chosen.mapInArrow(run, schema)
 

@@ -410,3 +410,17 @@ def test_pipeline_drops_copies_without_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("int")})
     got = sorted((str(r["doc_id"]), r["text"]) for r in rows_of(P.drop_near_duplicates(spark, docs, SF)))
     assert got == [("5", "a copy without an id"), ("7", "one text under the id"), ("7", "quite another text under it"), ("None", "only without an id")]
+
+
+def test_pipeline_rejects_texts_without_a_language(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*P.COLUMNS)
+    rng = random.Random(8)
+    gibberish = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(200))
+    english = docs.filter("lang = 'en'").orderBy("doc_id").first()["text"]
+    odd = [(-1, "привет мир и всем добрый день " * 20), (-2, "καλημέρα κόσμε " * 20), (-3, gibberish), (-4, english), (-5, "123 !!"), (-6, gibberish[:60])]
+    extra = spark.createDataFrame(odd, "doc_id bigint, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)})
+    kept = P.identify_language(spark, docs.unionByName(extra), SF)
+    assert [r["doc_id"] for r in rows_of(kept.filter("doc_id < 0"))] == [-4]
+    assert kept.filter("doc_id >= 0").count() > 0.99 * docs.count()
