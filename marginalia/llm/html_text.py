@@ -33,13 +33,13 @@ _BLANK = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Never rendered, whatever their style says.
-UNSEEN = frozenset("head script style template title meta link base noscript noembed noframes iframe object video audio canvas svg math datalist select option optgroup textarea param source track area map rp xmp".split())
-BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav ol p plaintext pre search section summary ul table caption thead tbody tfoot tr".split())
+UNSEEN = frozenset("head script style template title meta link base noscript noembed noframes iframe object video audio canvas datalist param source track area map rp xmp".split())
+BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav ol p plaintext pre search section summary ul table caption thead tbody tfoot tr option optgroup".split())
 #: Separated from their neighbours by a blank line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr".split())
 _LISTS = frozenset("ul ol menu dir".split())
 #: Start tags that end an open <p>.
-_ENDS_P = BLOCKS - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr"}
+_ENDS_P = BLOCKS - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr", "option", "optgroup"}
 #: Start tag -> open elements it ends, looked for up to a boundary.
 _IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -57,6 +57,8 @@ _IMPLIED = {
     "rp": ({"rt", "rp"}, {"ruby"}),
     "body": ({"head"}, {"html"}),
 }
+#: Inside svg and math, what is defined or noted there and not drawn.
+_UNDRAWN = frozenset("annotation annotation-xml clippath defs desc marker mask metadata pattern symbol".split())
 _HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
 _P_SCOPE = frozenset("table td th caption button object html body".split())
 
@@ -102,6 +104,16 @@ def parse(source: str) -> Node:
             else:
                 return
 
+    def foreign() -> bool:
+        return bool(depth.get("svg") or depth.get("math"))
+
+    def say(text: str) -> None:
+        """Text in place: an open head ends at it, and svg draws it in its labels only."""
+        if opened[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            cut(len(opened) - 1)
+        if not depth.get("svg") or depth.get("text") or depth.get("foreignobject"):
+            opened[-1].children.append(text)
+
     def start(tag: str, attributes: dict[str, str], empty: bool) -> None:
         if len(opened) > 1 and opened[-1].tag == "head" and tag not in _HEAD_ONLY and tag != "head":
             cut(len(opened) - 1)
@@ -115,8 +127,14 @@ def parse(source: str) -> Node:
             close_to({"a"}, _P_SCOPE)
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", opened[-1].tag):
             cut(len(opened) - 1)
+        if foreign() and tag in _UNDRAWN:
+            attributes = attributes | {"hidden": ""}
+        if tag == "text" and depth.get("svg"):
+            opened[-1].children.append(" ")  # labels stand apart
         node = Node(tag, attributes)
         opened[-1].children.append(node)
+        if tag == "optgroup" and attributes.get("label"):
+            node.children.append(attributes["label"])
         if not empty and tag not in VOID:
             opened.append(node)
             depth[tag] = depth.get(tag, 0) + 1
@@ -139,27 +157,30 @@ def parse(source: str) -> Node:
         found = _TOKEN.search(source, at)
         text = source[at : found.start() if found else n]
         if text:
-            opened[-1].children.append(entities.unescape(text) if "&" in text else text)
+            say(entities.unescape(text) if "&" in text else text)
         if not found:
             break
         at = found.end()
         tag = found[3]
         if found[1] is not None:
-            opened[-1].children.append(found[1])
+            say(found[1])
         if not tag:
             continue
         tag = tag.lower()
         if found[2]:
             end(tag)
             continue
-        start(tag, _attributes(found[4]) if found[4].strip() else {}, False)
+        empty = bool(found[5]) and (foreign() or tag in ("svg", "math"))
+        start(tag, _attributes(found[4]) if found[4].strip() else {}, empty)
+        if empty:
+            continue
         if tag == "plaintext":
             opened[-1].children.append(source[at:])
             break
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?|\Z", re.I).search(source, at)
             raw = source[at : close.start()]
-            opened[-1].children.append(entities.unescape(raw) if tag in ("textarea", "title") else raw)
+            opened[-1].children.append(entities.unescape(re.sub(r"\A\r?\n", "", raw) if tag == "textarea" else raw) if tag in ("textarea", "title") else raw)
             cut(len(opened) - 1)
             at = close.end()
     return root
@@ -185,7 +206,7 @@ def _visibility(node: Node, inherited: bool) -> bool:
 
 
 def _preformatted(node: Node, inherited: bool) -> bool:
-    if node.tag in ("pre", "listing", "plaintext"):
+    if node.tag in ("pre", "listing", "plaintext", "textarea"):
         return True
     style = node.attributes.get("style", "").lower().replace(" ", "") if node.attributes else ""
     found = re.search(r"white-space:(pre\b|pre-wrap|pre-line|normal|nowrap)", style)

@@ -424,3 +424,16 @@ def test_pipeline_rejects_texts_without_a_language(spark):
     kept = P.identify_language(spark, docs.unionByName(extra), SF)
     assert [r["doc_id"] for r in rows_of(kept.filter("doc_id < 0"))] == [-4]
     assert kept.filter("doc_id >= 0").count() > 0.99 * docs.count()
+
+
+@pytest.mark.parametrize("source, text", [
+    ("a <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> b", "a x=2 b"),
+    ("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>North</text><text>South</text>no</svg> b", "North South b"),
+    ("<p>Pick <select><optgroup label=Fruit><option>Apple<option selected>Pear</select>", "Pick\nFruit\nApple\nPear"),
+    ("<textarea>\na\n  b &lt;</textarea>", "a\n  b <"),
+    ("<head><title>T</title>Hello<p>x", "Hello\n\nx"),
+    ("<head> <title>T</title> <meta name=a> </head>y", "y"),
+    ("<svg><title/><text>A</text></svg>z<svg/>w", "Azw"),
+])
+def test_html_shows_what_browsers_show(source, text):
+    assert html_text.page_text(source)[0] == text
