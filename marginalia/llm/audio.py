@@ -120,9 +120,9 @@ def _mel_bank(rate: int, frame: int, bands: int) -> np.ndarray:
 
 
 def log_mel(signal: np.ndarray, spec: Spec, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel rows and energy in decibel of each overlapped frame."""
-    if len(signal) < spec.frame:
-        signal = np.concatenate([signal, np.zeros(spec.frame - len(signal))])
+    """Log-mel rows and energy in decibel of each overlapped frame; zeros fill up the last."""
+    short = spec.frame - len(signal) if len(signal) < spec.frame else (spec.frame - len(signal)) % spec.hop
+    signal = np.concatenate([signal, np.zeros(short)])
     frames = np.lib.stride_tricks.sliding_window_view(signal, spec.frame)[:: spec.hop]
     taper, bank = np.hanning(spec.frame), _mel_bank(spec.target_rate, spec.frame, spec.bands)
     mels, energy = np.empty((len(frames), spec.bands), np.float32), np.empty(len(frames))

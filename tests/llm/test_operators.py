@@ -437,3 +437,12 @@ def test_pipeline_rejects_texts_without_a_language(spark):
 ])
 def test_html_shows_what_browsers_show(source, text):
     assert html_text.page_text(source)[0] == text
+
+
+def test_audio_frames_cover_the_end():
+    spec = audio.Spec()
+    for more in range(1, spec.hop + 2):
+        signal = np.zeros(spec.frame + more)
+        signal[-spec.hop :] = 1.0
+        mels, energy = audio.log_mel(signal, spec)
+        assert len(mels) == 1 + -(-more // spec.hop) and energy.argmax() == len(energy) - 1
