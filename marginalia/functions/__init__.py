@@ -15,6 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia import runtime
 from marginalia.core import cite as _cite
 from marginalia.core import library as _library
 from marginalia.core import scan as _scan
@@ -50,6 +51,8 @@ def _parsed(source: str, strict: bool) -> _library.Library | str:
 
 
 def _apply(work: Callable, returns: T.DataType, *columns) -> Column:
+    if session := SparkSession.getActiveSession():
+        runtime.ship(session)
     return F.udf(work, returns, useArrow=True)(*map(_column, columns))
 
 
@@ -242,10 +245,27 @@ def _blocks(source: str) -> list[tuple]:
     return [(i, b.kind, b.raw, b.value, b.key, b.error, at[b.start], at[b.end]) for i, b in enumerate(blocks)]
 
 
-def _field_rows(source: str) -> list[tuple]:
+#: What each column of a field row is, from (entry number, entry, field number, field, byte positions).
+_FIELD_PARTS = {
+    "entry_no": lambda i, e, k, f, at: i,
+    "key": lambda i, e, k, f, at: e.key,
+    "kind": lambda i, e, k, f, at: e.kind,
+    "field_no": lambda i, e, k, f, at: k,
+    "name": lambda i, e, k, f, at: f.name,
+    "value": lambda i, e, k, f, at: f.value,
+    "value_mode": lambda i, e, k, f, at: f.mode,
+    "atoms": lambda i, e, k, f, at: [(a.value, a.mode) for a in f.atoms],
+    "span_start": lambda i, e, k, f, at: at[f.start],
+    "span_end": lambda i, e, k, f, at: at[f.end],
+}
+
+
+def _field_rows(source: str, wanted: tuple[str, ...] = tuple(_FIELD_PARTS)) -> list[tuple]:
     found = [b.entry for b in _scan.scan(source) if b.entry]
-    at = _scan.byte_spans(source, [p for e in found for f in e.fields for p in (f.start, f.end)])
-    return [(i, e.key, e.kind, k, f.name, f.value, f.mode, [(a.value, a.mode) for a in f.atoms], at[f.start], at[f.end]) for i, e in enumerate(found) for k, f in enumerate(e.fields)]
+    spans = any(w.startswith("span") for w in wanted)
+    at = _scan.byte_spans(source, [p for e in found for f in e.fields for p in (f.start, f.end)]) if spans else {}
+    parts = [_FIELD_PARTS[w] for w in wanted]
+    return [tuple([part(i, e, k, f, at) for part in parts]) for i, e in enumerate(found) for k, f in enumerate(e.fields)]
 
 
 def raw_blocks(bibtex) -> Column:
@@ -254,10 +274,16 @@ def raw_blocks(bibtex) -> Column:
     return _apply(lambda source: None if source is None else _blocks(source), T.ArrayType(BLOCK), bibtex).alias("raw_blocks")
 
 
-def raw_fields(bibtex) -> Column:
-    """Fields of each raw source, duplicates included, with byte spans of their inner text."""
+def raw_fields(bibtex, *, columns=None) -> Column:
+    """Fields of each raw source, duplicates included, with byte spans of their inner text.
 
-    return _apply(lambda source: None if source is None else _field_rows(source), T.ArrayType(FIELD), bibtex).alias("raw_fields")
+    ``columns`` names the parts of :data:`FIELD` to build; all by default.
+    """
+    wanted = tuple(_FIELD_PARTS) if columns is None else tuple(columns)
+    if bad := [w for w in wanted if w not in _FIELD_PARTS]:
+        raise ValueError(f"unknown field column {bad[0]!r}")
+    row = T.StructType([FIELD[w] for w in wanted])
+    return _apply(lambda source: None if source is None else _field_rows(source, wanted), T.ArrayType(row), bibtex).alias("raw_fields")
 
 
 def set_field(bibtex, key, field, value) -> Column:
@@ -303,6 +329,7 @@ def register(spark: SparkSession, prefix: str = "bib_") -> None:
     (``strict``, or ``style`` and ``strict``); narrow ones are SQL functions
     over their fields: ``bib_cite(source, key, style => 'ieee')``.
     """
+    runtime.ship(spark)
 
     def report(source, strict):
         return _report(strict)(source)

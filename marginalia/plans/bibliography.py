@@ -81,7 +81,7 @@ def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = O.explode_fields(articles(spark, sf_dir).select("o_orderkey", "bibtex"))
+    rows = O.explode_fields(articles(spark, sf_dir).select("o_orderkey", "bibtex"), columns=("field_no", "name", "value", "value_mode"))
     return rows.select("o_orderkey", F.col("field_no").cast("bigint").alias("field_no"), "name", "value", "value_mode")
 
 

@@ -21,15 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False)
 
     ``spread`` deals out a table that lies in fewer splits than there are cores
     (one file with one row group is one task); larger tables are left as they are.
+    It changes where rows lie, never which there are.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (or one machine's test cluster in one JVM)."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as ``spark.checkpoint.dir`` names it."""
+    """The folder that the driver and all executors see, as ``spark.checkpoint.dir`` names it.
+
+    Only a local session may do without: on a cluster no folder of one machine will do.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or DEFAULT_SHARED).rstrip("/")
 
 
@@ -44,6 +55,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; frames that read them are done with."""
+    forget(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that no later read needs."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -63,13 +79,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors.
+    """Make this package importable on the executors, whoever asks for it first.
 
-    Where the driver's PYTHONPATH already names its folder, the workers inherit
-    it and nothing is sent; otherwise a zip goes out once per application.
+    A local session's workers inherit a PYTHONPATH that names its folder and
+    nothing is sent; otherwise a zip goes out once per application, as folders
+    of the driver need not exist elsewhere.
     """
     root = str(PACKAGE.parent)
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if is_local(spark) and root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     context = spark.sparkContext
     if getattr(context, "_marginalia_shipped", False):

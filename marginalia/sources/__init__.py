@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia import runtime
 from marginalia.core import library as _library
 
 _DECODED = T.StructType().add("text", T.StringType()).add("diagnostics", T.ArrayType(T.StringType()))
@@ -13,6 +14,7 @@ _DECODED = T.StructType().add("text", T.StringType()).add("diagnostics", T.Array
 
 def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
     """path, format, bibtex and diagnostics of ``.bib``, ``.yaml`` and ``.yml`` files."""
+    runtime.ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     decoded = files.select("path", suffix.alias("format"), F.udf(_library.decode, _DECODED, useArrow=True)("content").alias("d"))

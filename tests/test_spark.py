@@ -78,3 +78,60 @@ def test_query_matches_its_sql(spark, name):
     order = sorted(range(len(names)), key=names.__getitem__)
     assert sorted(names) == sorted(df.columns)
     assert got == sorted(str(tuple(r[i] for i in order)) for r in held.fetchall())
+
+
+@pytest.mark.parametrize("name", ["entries", "explode_lookup", "lookup", "raw_blocks", "raw_fields"])
+def test_a_source_is_parsed_once(spark, name):
+    plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+
+
+def test_letters_go_on_after_z(spark):
+    got = [r.suffix for r in O.disambiguate(spark.range(710).withColumn("g", F.lit(1)), ["g"], "id").orderBy("id").collect()]
+    assert got[:2] == ["a", "b"] and got[25:28] == ["z", "aa", "ab"] and got[701:704] == ["zz", "aaa", "aab"] and len(set(got)) == 710
+
+
+def test_null_keys_are_numbered_and_first_rows_kept(spark):
+    cited = spark.createDataFrame([(1, "a", 1), (1, None, 2), (1, "b", 3), (1, None, 4), (None, "a", 1)], "doc int, key string, ord int")
+    assert sorted((r.doc or 0, r.ord, r.number) for r in O.number_citations(cited, "doc", "key", "ord").collect()) == [(0, 1, 1), (1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 2)]
+    held = spark.createDataFrame([(1, "A b"), (2, "a-B"), (3, None), (4, ""), (None, "ab"), (5, "x")], "o int, v string")
+    assert sorted(r.o for r in O.dedupe_entries(held, ["v"], "o").collect()) == [1, 3, 4, 5]
+
+
+def test_duplicate_rules(spark):
+    rows = [(1, "K", "10.1/X", "Doe, Jane and Roe, R", "A Title!", None, "an abstract"), (2, "k", "https-10.1/x", "Jane {Doe}", "a title", "0", "An Abstract."), (3, "l", None, None, "a title", "0", None)]
+    held = spark.createDataFrame(rows, "n int, key string, doi string, author string, title string, number string, abstract string")
+    for rule, left in (("key", [1, 3]), ("citation", [1, 3]), ("abstract", [1, 3]), ("doi", [1, 2, 3])):
+        assert sorted(r.n for r in O.dedupe_entries(held, [], "n", value=O.duplicate_value(rule)).collect()) == left
+    with pytest.raises(ValueError):
+        O.duplicate_value("isbn")
+
+
+def test_documents_say_why_they_do_not_render(spark):
+    cited = spark.createDataFrame([(1, 0, "k", None), (1, None, "k", "3"), (2, 0, "k", None), (3, 0, None, None), (4, 1, "zz", None), (5, 0, "k", None), (6, 0, "k", None)], "doc_id int, ord int, key string, locator string")
+    held = spark.createDataFrame([(1, "@misc{k,author={A B},year=2020}"), (3, "@misc{k,title={x}}"), (4, ""), (5, "@misc{k,"), (6, ""), (6, "")], "doc_id int, bibtex string")
+    got = {(r.doc_id, r.ord): r for r in O.render_documents(cited, held).collect()}
+    assert len(got) == 7 and got[1, 0].text == "(B, 2020)" and got[1, None].text == "(B, 2020, p. 3)" and got[1, 0].error is None
+    assert [got[d, o].error.split(":")[0] for d, o in ((2, 0), (3, 0), (4, 1), (5, 0), (6, 0))] == ["the document has no library", "a citation has no key", 'missing reference "zz"', "parse error at 0..8", "the document has 2 libraries"]
+    assert all(got[d, o].text is None for d, o in ((2, 0), (3, 0), (4, 1), (5, 0), (6, 0)))
+
+
+def test_functions_ship_the_package(tmp_path):
+    """From a foreign folder, without PYTHONPATH, before any registered query has run."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").getOrCreate()
+from marginalia import functions as B
+print("COUNT", spark.createDataFrame([("@misc{{a, title={{t}}}}",)], "bibtex string").select(B.entry_count("bibtex").alias("n")).first().n)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "COUNT 1" in done.stdout, done.stderr[-2000:]
