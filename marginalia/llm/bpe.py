@@ -1,7 +1,9 @@
 """Word-level BPE by contiguous rank arrays, exact to the public vocabulary file.
 
-A text is cut at special tokens, normalised and split into words.  A word not
-seen lately is encoded alone: its parts stay in one array beside the rank of
+A text is cut at special tokens, normalised and split into words.  Letter
+classes, lower case and composition differ between Unicode versions, so text
+beyond the Latin blocks is normalised and split by the tokenizers library's own
+classes, made from the vocabulary file's description.  A word not seen lately is encoded alone: its parts stay in one array beside the rank of
 each adjacent pair; the smallest rank is found by scanning, its right boundary
 deleted, and the two neighbouring ranks looked up again.  Scanning is quadratic
 in the parts of a word, so words longer than ``SHORT`` parts go through a heap
@@ -21,13 +23,12 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from marginalia import runtime
 
@@ -36,14 +37,11 @@ CACHE = 200_000
 _NONE = 1 << 60
 _BITS = 20
 _MASK = (1 << _BITS) - 1
-#: Words of the vocabulary's own splitting pattern, for any text.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: The same words for texts of the first two Latin blocks and their extensions,
+#: The vocabulary's words for texts of the first two Latin blocks and their extensions,
 #: where the standard library's classes need only these numerals moved.
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|(?:[^\\w\\s]|_)+")
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile(r"\s+")
 
 
 def _byte_characters() -> list[str]:
@@ -53,6 +51,23 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _normalizer(spec: dict):
+    """The library's normaliser that a vocabulary file describes."""
+    kind = spec["type"]
+    if kind == "Sequence":
+        return normalizers.Sequence([_normalizer(part) for part in spec["normalizers"]])
+    if kind == "Replace":
+        return normalizers.Replace(Regex(spec["pattern"]["Regex"]), spec["content"])
+    return {"NFC": normalizers.NFC, "Lowercase": normalizers.Lowercase}[kind]()
+
+
+def _splitter(spec: dict):
+    """The library's splitter by pattern that a vocabulary file describes; bytes are mapped later."""
+    parts = spec["pretokenizers"] if spec["type"] == "Sequence" else [spec]
+    split = next(part for part in parts if part["type"] == "Split")
+    return pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), invert=split["invert"])
+
+
 class WordBPE:
     """Encoder and decoder of one vocabulary file."""
 
@@ -66,6 +81,7 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text_of.update({i: t for t, i in self.special.items()})
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._normal, self._split = _normalizer(spec["normalizer"]), _splitter(spec["pre_tokenizer"])
         symbols = _byte_characters()
         self._inner = [vocab[s] for s in symbols]
         self._final = [vocab[s + self.end] for s in symbols]
@@ -132,11 +148,10 @@ class WordBPE:
 
     def words(self, text: str) -> list[str]:
         """Normalised words of a text between special tokens."""
-        text = unicodedata.normalize("NFC", text)
         if _BEYOND_LATIN.search(text) or _ODD_SPACE.search(text):
-            text = regex.sub(r"\s+", " ", text)
-            return _WORDS.findall("".join([c.lower() for c in text]))
-        # The pattern drops white space and no word spans it, so runs need no collapsing.
+            return [word for word, _ in self._split.pre_tokenize_str(self._normal.normalize_str(text))]
+        # The pattern drops white space and no word spans it, so runs need no collapsing;
+        # these blocks hold no combining marks, so they are composed as they stand.
         return _LATIN_WORDS.findall(text.lower() if "İ" not in text else "".join([c.lower() for c in text]))
 
     def encode_decode(self, text: str) -> tuple[bytes, str]:

@@ -200,6 +200,31 @@ def test_bpe_equals_the_library(spark):
     assert got[2]["n_tokens"] == 0 and got[2]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_bpe_equals_the_library_on_any_code_points():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    mine = bpe.codec(bpe.default_vocabulary())
+    rng = random.Random(11)
+    marks = [*range(0x300, 0x370), *range(0x610, 0x61B), *range(0x64B, 0x660), *range(0x8CA, 0x900), 0x9FE, 0xABC, 0x6EA]
+    every = [c for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000]
+
+    def text():
+        kind = rng.random()
+        if kind < 0.4:
+            return "".join(chr(rng.choice(every)) for _ in range(rng.randint(1, 12)))
+        if kind < 0.7:
+            return "".join(chr(rng.choice(marks)) if rng.random() < 0.5 else rng.choice("aeiou اقक z") for _ in range(rng.randint(1, 12)))
+        return "".join(chr(rng.randrange(1, 0x2C00)) for _ in range(rng.randint(1, 12)))
+
+    texts = [text() for _ in range(20_000)] + [chr(c) for c in (0x558, 0x88F, 0x1C89, 0xA7CB)] + ["x" + chr(c) + "Y" for c in range(1, 0x3000)]
+    for text, found in zip(texts, known.encode_batch(texts, add_special_tokens=False)):
+        ids, decoded = mine.encode_decode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == found.ids, ascii(text)
+        assert decoded == known.decode(found.ids, skip_special_tokens=False)
+
+
 # 7
 
 
