@@ -22,14 +22,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     That is: most letters are in scripts of learned languages, and the words of
     the language with most letters score in the range usual for that language.
+    Null and empty texts go.  Rows are judged each for itself: repeated rows and
+    null ids share a verdict, an empty table gives none, further columns are
+    dropped.  Where no row names a language there is nothing to judge by, and
+    every document with a letter stays.
     """
     model = langid.fit(docs, learn=~langid.held_out(3, 1), ranges=True)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     told = langid.identify(docs, model, keep=("text", "lang", "source", "n_chars"))
     return told.filter(F.col("evidence") >= LEAST_LANGUAGE_SHARE).select(*COLUMNS)
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier predicts to be of low quality."""
+    """Rejects documents that the classifier predicts to be of low quality.
+
+    Null texts are judged as empty ones.  Rows are judged each for itself:
+    repeated rows and null ids share a verdict, an empty table gives none,
+    further columns are dropped.  Without any label of 0 and 1 among the rows to
+    learn from, every document scores the share of good labels (a half without
+    labels) and stays unless that is below the cut.
+    """
     forest = quality.fit(docs, runtime.table(spark, sf_dir, "labels"), learn=~quality.held_out(5, 0))
     return quality.classify(docs, forest, keep=("text", "lang", "source", "n_chars")).filter("predicted = 1").select(*COLUMNS)
 
@@ -50,7 +63,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into training sequences."""
+    """Packs what is left into training sequences.
+
+    Null texts are packed as empty ones, whose only token is the end id; repeated
+    rows and null ids are packed each for itself; an empty table gives none.
+    """
     return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -8,15 +8,19 @@ document's.
 
 The model is fitted on at most ``rows_per_language`` documents of each
 language in expectation, chosen by a hash of the id (the documented bound);
-trigram counts are summed by Spark, and ``max_grams`` bounds what reaches the
-driver.  Scoring is a map over Arrow batches: nothing is shuffled.  Within a
-batch the Viterbi steps run over all documents at once, longest first.
-
-Defined results: null text, or text without a letter, is ``und`` with score 0;
-letters in no learned script score every language alike.  Repeated rows give
-repeated results, an empty table none; a null id counts as not held out;
-columns other than doc_id, text and (for learning) lang are ignored.  Ties go
-to the language that sorts first.
+trigram counts are summed by Spark.  Every language that labels a row is
+learned, one row of sizes each.  Of each language's trigrams the
+``grams_per_language`` most used are kept, whatever the other languages have;
+the scripts a language is written in are counted apart and all kept.  Scoring is
+a map over Arrow batches: nothing is shuffled.  Within a batch the Viterbi steps
+run over many documents at once, longest first.
+
+Defined results: null text, or text without a letter (Unicode category L;
+numerals are none), is ``und`` with score 0; so is any text where no language
+was learned.  Letters in no learned script score every language alike.
+Repeated rows give repeated results, an empty table none; a null id counts as
+not held out; columns other than doc_id, text and (for learning) lang are
+ignored.  Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -24,13 +28,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marginalia import runtime
 
@@ -57,14 +63,21 @@ SCRIPT_RANGES = [
 SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
 _STARTS = [first for first, _ in SCRIPT_RANGES]
 _SCRIPT_AT = [SCRIPTS.index(name) for _, name in SCRIPT_RANGES]
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word is a letter and the letters and marks (vowel signs, accents) after it.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: The same where a text stays in the first two Latin blocks and their extensions.
+_LATIN_WORD = re.compile(r"[^\W\d_²³¹¼½¾]+")
+_BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+#: Rows of an Arrow batch that are labelled and handed on at a time.
+_SLICE = 1024
 UNDETERMINED = "und"
 _BARRED = -1e4
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, over the whole text."""
-    return _WORD.findall(text.lower())
+    """Lower-cased words, over the whole text."""
+    low = text.lower()
+    return (_WORD if _BEYOND_LATIN.search(low) else _LATIN_WORD).findall(low)
 
 
 def script_of(word: str) -> int:
@@ -116,7 +129,7 @@ class Model:
         return np.where(known, np.where(allowed, out, _BARRED), 0).astype(np.float32)
 
 
-def fit(docs: DataFrame, *, learn: Column | None = None, rows_per_language: int = 3000, max_languages: int = 512, max_grams: int = 400_000, ranges: bool = False) -> Model:
+def fit(docs: DataFrame, *, learn: Column | None = None, rows_per_language: int = 3000, grams_per_language: int = 20_000, ranges: bool = False) -> Model:
     """Learn from text and lang of the rows that ``learn`` admits (null: all).
 
     ``ranges`` scores the sample once more for the model's ``usual`` range.
@@ -125,7 +138,7 @@ def fit(docs: DataFrame, *, learn: Column | None = None, rows_per_language: int
     runtime.ship(spark)
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull()
     rows = docs.filter(usable & learn if learn is not None else usable).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = rows.groupBy("lang").count().collect()  # one row per language
     if not sizes:
         return Model([], {}, np.zeros((1, 0)), np.zeros((len(SCRIPTS), 0), bool))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
@@ -145,7 +158,10 @@ def fit(docs: DataFrame, *, learn: Column | None = None, rows_per_language: int
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.string()), pa.array([r[1] for r in flat], pa.string()), pa.array([r[2] for r in flat], pa.int64())], names=["lang", "gram", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
+    counts = runtime.materialize(counts.withColumn("script", F.col("gram").startswith("\0")), "grams")
+    used = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    most = counts.filter(~F.col("script")).withColumn("place", F.row_number().over(used)).filter(F.col("place") <= grams_per_language)
+    kept = counts.filter("script").select("lang", "gram", "n").union(most.select("lang", "gram", "n")).orderBy("lang", "gram").toArrow()
     languages = sorted({r["lang"] for r in sizes})
     place = {lang: k for k, lang in enumerate(languages)}
     grams: dict[str, int] = {}
@@ -177,7 +193,7 @@ def usual_range(sample: DataFrame, model: Model) -> np.ndarray:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for lang, (words, emission, _) in zip(batch.column(0).to_pylist(), label_texts(batch.column(1).to_pylist(), model)):
+            for lang, (words, emission, _) in zip(batch.column(0).to_pylist(), label_texts((t.as_py() for t in batch.column(1)), model)):
                 own = emission[:, model.languages.index(lang)].astype(np.float64)
                 sizes = np.fromiter(map(len, words), np.int64, len(words))
                 used = (own != 0) & (own > _BARRED)
@@ -235,7 +251,7 @@ def viterbi(emission: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nda
     return labels
 
 
-def label_texts(texts: list[str | None], model: Model, most_cells: int = 8_000_000) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+def label_texts(texts: Iterable[str | None], model: Model, most_cells: int = 2_000_000) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """(words, emission rows, labels) of each text, some documents at a time."""
     held: list[list[str]] = []
     cells = 0
@@ -301,8 +317,8 @@ def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ()) -> Da
         schema += ", evidence double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(*decide(*x, model), 0.0 if model.usual is None else evidence(*x, model)) for x in label_texts(batch.column(0).to_pylist(), model)]
+        for batch in (whole.slice(at, _SLICE) for whole in batches for at in range(0, whole.num_rows, _SLICE)):
+            got = [(*decide(*x, model), 0.0 if model.usual is None else evidence(*x, model)) for x in label_texts((t.as_py() for t in batch.column(0)), model)]
             more = {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())}
             if model.usual is not None:
                 more["evidence"] = pa.array([g[2] for g in got], pa.float64())
@@ -318,7 +334,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, (words, _, labels) in zip(batch.column(0).to_pylist(), label_texts(batch.column(1).to_pylist(), model)):
+            for doc_id, (words, _, labels) in zip(batch.column(0).to_pylist(), label_texts((t.as_py() for t in batch.column(1)), model)):
                 edges = [0, *(np.flatnonzero(np.diff(labels)) + 1), len(words)] if words else []
                 rows += [(doc_id, k, int(a), int(b) - 1, model.languages[labels[a]]) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]

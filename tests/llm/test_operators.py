@@ -361,6 +361,48 @@ def test_language_spans(spark):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (2, 3)} == {"und"} and [r for r in got if r["doc_id"] == 4][0]["lang_pred"] in model.languages
 
 
+def test_texts_without_letters_are_undetermined(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    odd = ["½ ²", "Ⅷ 12", "①②", "١٢ ३", "a\u0301"[1:], "!? 7", "a", "²a", "हिन्दी"]
+    got = {r["doc_id"]: r["lang_pred"] for r in rows_of(langid.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string"), model))}
+    assert [got[i] for i in range(len(odd))][:6] == ["und"] * 6 and "und" not in [got[i] for i in (6, 7, 8)]
+    assert langid.words_of("हिन्दी Ünï ½a") == ["हिन्दी", "ünï", "a"] and langid.words_of("e\u0301t ½a²b") == ["e\u0301t", "a", "b"]
+
+
+def test_rare_languages_keep_their_model(spark):
+    """A language of few rows keeps its trigrams and scripts beside one of many."""
+    rng = random.Random(2)
+    many = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)), "xx") for i in range(200)]
+    few = [(1000 + i, "привет мир добрый день", "ru") for i in range(2)] + [(2000, "γεια σου κόσμε", "el")]
+    learnt = spark.createDataFrame(many + few, "doc_id bigint, text string, lang string")
+    model = langid.fit(learnt, grams_per_language=50)
+    assert model.languages == ["el", "ru", "xx"] and model.allowed.any(axis=0).all()
+    got = {r["doc_id"]: r["lang_pred"] for r in rows_of(langid.identify(spark.createDataFrame([(1, "добрый"), (2, "κόσμε")], "doc_id bigint, text string"), model))}
+    assert got == {1: "ru", 2: "el"}
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, repeats, long texts, no labels, no languages, empty tables."""
+    import corpus_pipeline as P
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, score double, predicted int, row string"
+    long = "the quick brown fox jumps over the lazy dog " * 20_000
+    rows = [(1, "a plain text of words", None, None, None), (1, "a plain text of words", None, None, None), (None, None, None, None, None), (2, "", None, "s", 0), (3, long, None, "s", None), (4, "123 ½", None, None, 4)]
+    docs = spark.createDataFrame([(*r, 1.0, 1, "x") for r in rows], schema)
+    none = docs.limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+    kept = P.identify_language(spark, docs, SF)
+    assert kept.columns == list(P.COLUMNS) and sorted(r["doc_id"] for r in rows_of(kept)) == [1, 1, 3]
+    judged = rows_of(P.judge_quality(spark, docs, SF))
+    assert len(judged) <= len(rows) and judged.count([r for r in judged if r["doc_id"] == 1][0] if any(r["doc_id"] == 1 for r in judged) else None) in (0, 2)
+    deduped = P.drop_near_duplicates(spark, docs, SF)
+    assert deduped.columns == list(P.COLUMNS) and sorted(str(r["doc_id"]) for r in rows_of(deduped)) == ["1", "2", "3", "4"]
+    packed = rows_of(P.pack_sequences(spark, docs, SF))
+    assert sum(r["length"] for r in packed if r["doc_id"] == 3) == 9 * 20_000 + 2 and len([r for r in packed if r["doc_id"] is None]) == 1
+
+
 def test_language_on_held_out_rows(spark):
     got = queries.op10_language_spans(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert len(got) > 100 and (got.lang_pred == got.lang).mean() > 0.97
