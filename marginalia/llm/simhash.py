@@ -37,22 +37,28 @@ from marginalia import runtime
 from marginalia.llm.components import components
 
 BITS = 64
+#: Keys of more than one row in so many are joined apart: there are no more of them than this.
+HOT_SHARES = 256
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, *, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """Bits set in over half of the shingles' XXH64, over the whole text."""
+def shingle_hashes(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of the whole text, repeats included; fewer words are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)
+    digest = xxhash.xxh64_intdigest
     if n <= words_per_shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = words_per_shingle - 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], seed) for i, j in zip(starts[:-k].tolist() if k else starts.tolist(), ends[k:].tolist())], np.uint64)
+    return np.array([digest(joined[i:j], seed) for i, j in zip(starts[: n - k].tolist(), ends[k:].tolist())], np.uint64)
+
+
+def fold(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes; zero for none."""
     seen = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK]
@@ -60,6 +66,11 @@ def fingerprint(text: str | None, *, words_per_shingle: int = 3, seed: int = 42)
     return int(np.packbits(2 * seen > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, *, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """Bits set in over half of the shingles' XXH64, over the whole text."""
+    return fold(shingle_hashes(text, words_per_shingle, seed))
+
+
 def fingerprints(docs: DataFrame, *, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
     runtime.ship(docs.sparkSession)
@@ -109,7 +120,12 @@ def _chained(apart: Column, slot: Column, most_bits: int) -> Column:
 
 
 def links(fps: DataFrame, *, most_bits: int = 2, hot_bucket: int = 1000) -> DataFrame:
-    """Pairs ``(a, b)`` of distinct fingerprints within ``most_bits``, each once."""
+    """Pairs ``(a, b)`` of distinct fingerprints within ``most_bits`` that connect all such pairs.
+
+    Every such pair is there once, but for members of hot buckets: those that
+    agree outside a mask are linked to the smallest of them, which leaves the
+    components as they are.
+    """
     if most_bits < 1:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     keyed = fps.select("fp", F.explode(_keys(most_bits)).alias("k")).select("fp", "k.slot", "k.key")
@@ -137,15 +153,25 @@ def links(fps: DataFrame, *, most_bits: int = 2, hot_bucket: int = 1000) -> Data
 def classes(docs: DataFrame, *, most_bits: int = 2, words_per_shingle: int = 3, seed: int = 42, hot_bucket: int = 1000) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) of every row."""
     told = runtime.materialize(fingerprints(docs, words_per_shingle=words_per_shingle, seed=seed), "fingerprints")
-    fps = told.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = told.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     rooted = components(links(fps.select("fp"), most_bits=most_bits, hot_bucket=hot_bucket))
     member = rooted.union(rooted.select(F.col("root").alias("node"), "root").distinct())
-    linked = fps.join(member, fps["fp"] == member["node"]).select("fp", "root", "least")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    by_fp = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # Written first, so that this join has a plain exchange on either side and a
-    # fingerprint shared by very many rows can be split over tasks.
-    return told.join(runtime.materialize(by_fp, "classes"), "fp").select("doc_id", "fp", "component_id")
+    linked = runtime.materialize(fps.join(member, fps["fp"] == member["node"]).select("fp", "root", "least"), "linked")
+    roots = runtime.materialize(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("copies")), "roots")
+    named = named_by(linked, roots, "root").select("fp", "component_id")
+    by_fp = runtime.materialize(fps.join(named, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    return named_by(told, by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def named_by(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows`` (a written table) with the columns of ``names``, one row per ``key`` and ``copies`` in ``rows``.
+
+    At most ``HOT_SHARES`` keys hold more than that share of all rows each, so
+    those names go out as a broadcast, and no key of the shuffled join is hotter.
+    """
+    hot = F.col("copies") * HOT_SHARES > rows.count()
+    often, seldom = F.broadcast(names.filter(hot).drop("copies")), names.filter(~hot).drop("copies")
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
 
 
 def pairs_by_force(values: list[int], most_bits: int) -> set[tuple[int, int]]:
