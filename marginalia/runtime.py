@@ -75,7 +75,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._scratch = path
+    return held
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for these frames, once nothing reads them any more."""
+    for df in tables:
+        forget(df.sparkSession, df._scratch)
 
 
 def ship(spark: SparkSession) -> None:
