@@ -1,15 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the pipeline.
+"""SimHash near-dedup of texts by exact Jaccard similarity, for the pipeline.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard
 similarity of 4/5 at least; every such pair ends in one component.  Texts with
-equal sets are one node.  Between nodes the join is exact:
-
-* prefix filter: in any one order of all shingles, two sets of which at least
-  4/5 agree share one of each set's first ``n - ceil(4 n / 5) + 1``, so those
-  are the join keys; the order puts shingles last that are common in a sample
-  of texts, which changes the work and never the result;
-* length and positional filters drop pairs that cannot reach the overlap;
-* what is left is verified on the whole sets.
+equal sets are one node.  Two steps make the links:
+
+1. SimHash fingerprints of the same shingles and their pigeonring candidates
+   (:mod:`marginalia.llm.simhash`) give pairs of nodes, each verified on the
+   whole sets.  This settles most copies, and large groups of them cheaply.
+2. Similarity 4/5 reaches further than any radius for which fingerprints can be
+   searched, so nodes that are still in different components go through a join
+   that misses none.  Prefix filter: in any one order of all shingles, two sets
+   of which 4/5 agree share one of each set's first ``n - ceil(4 n / 5) + 1``, so
+   those are the join keys; the order puts shingles last that are common in a
+   sample of texts, which changes the work and never the result.  Length and
+   positional filters drop pairs that cannot reach the overlap, and what is left
+   is verified on the whole sets.
 
 Buckets over ``hot_bucket`` nodes are first joined with one of their members.
 Only where that leaves a bucket in several components, pairs between different
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia import runtime
+from marginalia.llm import simhash
 from marginalia.llm.components import components
 
 WORDS = 5
@@ -37,18 +43,9 @@ WORDS = 5
 SAMPLE_ROWS, COMMON_USES = 20_000, 4
 
 
-def shingles(text: str | None, words_per_shingle: int = WORDS, seed: int = 42) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct XXH64 of the shingles of the whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, n, k = b" ".join(words), len(words), words_per_shingle - 1
-    if n <= words_per_shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[i:j], seed) for i, j in zip(starts[: n - k].tolist(), ends[k:].tolist())], np.uint64))
+    return np.unique(simhash.shingle_hashes(text, WORDS))
 
 
 def prefix(held: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -76,21 +73,27 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """The rows of ``docs`` with a row key, the node of the text, its size and join keys."""
+    """The rows of ``docs`` with a row key, the node of the text, its size, fingerprint and join keys."""
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(names.index("text"))]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-            keys = [prefix(s, shared.value).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            node, size, fp, keys = [], [], [], []
+            for text in batch.column(names.index("text")):
+                held = simhash.shingle_hashes(text.as_py(), WORDS)
+                fp.append(simhash.fold(held))
+                held = np.unique(held)
+                node.append(xxhash.xxh64_intdigest(held.tobytes(), 7))
+                size.append(len(held))
+                keys.append(prefix(held, shared.value).view(np.int64) if len(held) else np.zeros(0, np.int64))
             edges = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), lists], names=[*names, "node", "n", "keys"])
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, signed[0], pa.array(size, pa.int64()), signed[1], lists], names=[*names, "node", "n", "fp", "keys"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, node bigint, n bigint, keys array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    return docs.mapInArrow(run, f"{schema}, node bigint, n bigint, fp bigint, keys array<bigint>").withColumn("row", F.monotonically_increasing_id())
 
 
 def _possible() -> Column:
@@ -124,30 +127,54 @@ def verified(pairs: DataFrame, nodes: DataFrame, told: DataFrame) -> DataFrame:
     sets = runtime.materialize(texts.mapInArrow(hashed, "node bigint, held binary"), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("held").alias("held_a")), sets.select(F.col("node").alias("b"), F.col("held").alias("held_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b")
-    return runtime.materialize(both.mapInArrow(judged, "a bigint, b bigint"), "near")
+    near = runtime.materialize(both.mapInArrow(judged, "a bigint, b bigint"), "near")
+    runtime.drop(pairs, sets)
+    return near
+
+
+def by_fingerprint(nodes: DataFrame, most_bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or within ``most_bits``: one node stands for each fingerprint."""
+    first = runtime.materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("copies")), "firsts")
+    same = simhash.named_by(nodes.select("fp", "node"), first, "fp").filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, other = first.select(F.col("fp").alias("a"), F.col("first").alias("node_a")), first.select(F.col("fp").alias("b"), F.col("first").alias("node_b"))
+    far = simhash.links(first.select("fp"), most_bits=most_bits).join(one, "a").join(other, "b")
+    return same.union(far.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
+def _rooted(table: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """``table`` with the component of each node, itself where it is not linked."""
+    plain = table.drop("root")
+    return runtime.materialize(plain.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), label)
 
 
-def links(told: DataFrame, hot_bucket: int = 64) -> DataFrame:
+def links(told: DataFrame, hot_bucket: int = 64, most_bits: int = 2) -> DataFrame:
     """Pairs (a, b) of nodes within which all similar nodes are connected."""
-    nodes = runtime.materialize(told.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    spread = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    nodes = runtime.materialize(told.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    near = verified(by_fingerprint(nodes, most_bits), nodes, told)
+    told_roots = _rooted(nodes.select("node", "n", "keys"), near, "roots")
+    spread = told_roots.select("node", "n", "root", F.posexplode("keys").alias("at", "key"))
     bucket = Window.partitionBy("key")
     shared = runtime.materialize(spread.withColumn("size", F.count("*").over(bucket)).filter("size > 1"), "buckets")
     cold, hot = shared.filter(F.col("size") <= hot_bucket), shared.filter(F.col("size") > hot_bucket)
-    pairs = _side(cold, "a").join(_side(cold, "b"), "key").filter("a < b").filter(_possible()).select("a", "b")
-    star = hot.withColumn("b", F.min("node").over(bucket)).filter("b <> node").select(F.col("b").alias("a"), F.col("node").alias("b"))
-    near = verified(pairs.union(star), nodes, told)
+    pairs = _side(cold, "a", "root").join(_side(cold, "b", "root"), "key").filter("a < b AND root_a <> root_b").filter(_possible()).select("a", "b")
+    star = hot.withColumn("b", F.min("node").over(bucket)).withColumn("root_b", F.min_by("root", "node").over(bucket)).filter("b <> node AND root <> root_b").select(F.col("b").alias("a"), F.col("node").alias("b"))
+    near = near.union(verified(pairs.union(star), nodes, told))
     if not hot.limit(1).count():
+        runtime.drop(nodes, told_roots, shared)
         return near
-    rooted = runtime.materialize(hot.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rooted = _rooted(hot, near, "rooted")
     mixed = rooted.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low <> high")
     rest = _side(mixed, "a", "root").join(_side(mixed, "b", "root"), "key").filter("a < b AND root_a <> root_b").filter(_possible()).select("a", "b")
-    return near.union(verified(rest, nodes, told))
+    near = near.union(verified(rest, nodes, told))
+    runtime.drop(nodes, told_roots, shared, rooted)
+    return near
 
 
-def classes(docs: DataFrame, *, hot_bucket: int = 64) -> DataFrame:
+def classes(docs: DataFrame, *, hot_bucket: int = 64, most_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` with a row key and ``component``, equal for near copies and never null."""
     runtime.ship(docs.sparkSession)
     told = runtime.materialize(nodes_of(docs, common_shingles(docs)), "rows")
-    rooted = runtime.materialize(components(links(told, hot_bucket)), "rooted")
-    return told.join(rooted, "node", "left").select(*docs.columns, "row", F.coalesce("root", "node").alias("component"))
+    rooted = components(links(told, hot_bucket, most_bits))
+    copies = told.groupBy("node").agg(F.count("*").alias("copies"))
+    names = runtime.materialize(copies.join(rooted, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("component")), "names")
+    return simhash.named_by(told, names, "node").select(*docs.columns, "row", "component")
