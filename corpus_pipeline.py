@@ -51,15 +51,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one row of each near-duplicate component, that with the smallest id.
 
     Near copies are texts whose five-word shingles have a Jaccard similarity of
-    0.8 at least; all such pairs are found.  Rows are told apart by a row key,
-    not by their id: copies without an id go like others, and a different text
-    that repeats an id stays.  An id comes before none, then the text's hash
-    decides.
+    0.8 at least; all such pairs are found, by SimHash candidates first and an
+    exact join for what lies beyond their radius.  Rows are told apart by all
+    their columns, not by their id: copies without an id go like others, and a
+    different text that repeats an id stays.  An id comes before none, then
+    hashes of the text and of the row decide.  Null and empty texts are copies
+    of each other; an empty table gives none; further columns are dropped.
     """
-    told = runtime.materialize(near_copies.classes(docs.select(*COLUMNS)), "classes")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"), "row")
-    kept = told.groupBy("component").agg(F.min(first)["row"].alias("row"))
-    return told.join(kept.select("row"), "row", "left_semi").select(*COLUMNS)
+    return near_copies.first_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
