@@ -21,9 +21,9 @@ steps make the links:
 Before a pair is verified, parity bitmaps of both sets are compared: each differing
 bit is a shingle that only one of them has, so no pair that counts is dropped.
 
-Buckets over ``hot_bucket`` nodes are first joined with one of their members.
-Only where that leaves a bucket in several components, pairs between different
-components are compared.
+In buckets over ``hot_bucket`` nodes, nodes are first compared with hubs only.
+Where that leaves a bucket in several components, pairs between different
+components are compared: what texts share a key and are not near costs pairs.
 
 Defined results: a text of five words or fewer is one shingle; texts without a
 word, null ones too, are copies of each other; rows are told apart by all their
@@ -230,6 +230,21 @@ def _rooted(table: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     return runtime.materialize(plain.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), label)
 
 
+def _stars(hot: DataFrame, spokes: int) -> DataFrame:
+    """Pairs of each node of a bucket with a hub, and of the hubs with the bucket's own: about ``spokes`` a hub.
+
+    Hubs are the nodes in which the key comes first.  They have the fewest rarer
+    shingles, so where a bucket holds copies with edits they are those edited
+    least, to which most others are near.
+    """
+    best = F.min_by(F.struct("node", "root"), F.struct("at", "node"))
+    salted = hot.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / spokes)))
+    told = salted.withColumn("hub", best.over(Window.partitionBy("key", "salt")))
+    hubs = told.filter("hub.node = node").drop("hub").withColumn("hub", best.over(Window.partitionBy("key")))
+    both = told.select("node", "root", "hub").union(hubs.select("node", "root", "hub")).filter("hub.root <> root")
+    return both.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+
+
 def links(nodes: DataFrame, firsts: DataFrame, hot_bucket: int = 64, most_bits: int = 2) -> DataFrame:
     """Pairs (a, b) of nodes within which all similar nodes are connected."""
     near = verified(by_fingerprint(nodes.select(F.col("id").alias("node"), "fp"), most_bits), nodes, firsts)
@@ -239,8 +254,7 @@ def links(nodes: DataFrame, firsts: DataFrame, hot_bucket: int = 64, most_bits:
     shared = runtime.materialize(spread.withColumn("size", F.count("*").over(bucket)).filter("size > 1"), "buckets")
     cold, hot = shared.filter(F.col("size") <= hot_bucket), shared.filter(F.col("size") > hot_bucket)
     pairs = _side(cold, "a", "root").join(_side(cold, "b", "root"), "key").filter("a < b AND root_a <> root_b").filter(_possible()).select("a", "b")
-    star = hot.withColumn("b", F.min("node").over(bucket)).withColumn("root_b", F.min_by("root", "node").over(bucket)).filter("b <> node AND root <> root_b").select(F.col("b").alias("a"), F.col("node").alias("b"))
-    near = near.union(verified(pairs.union(star), nodes, firsts))
+    near = near.union(verified(pairs.union(_stars(hot, hot_bucket)), nodes, firsts))
     if hot.limit(1).count():
         again = runtime.materialize(hot.drop("root").join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         mixed = again.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low <> high")

@@ -506,6 +506,104 @@ def test_html_shows_what_browsers_show(source, text):
     assert html_text.page_text(source)[0] == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A | b\n  | c\nd | e"),
+    ("<ol reversed><li>a<li>b</ol><ol><li value=5>x<li>y</ol><ol type=i><li>p<li>q</ol>", "2. a\n1. b\n\n5. x\n6. y\n\ni. p\nii. q"),
+    ("<details><summary>S</summary>no</details><details open><summary>T</summary>yes</details>", "S\nT\nyes"),
+    ("<style>.x, #y{display:none} p.z{display:none} @media print{b{display:none}} i{visibility:hidden}</style><p class='a x'>no<p id=y>no<p class=z>yes <b>B</b> <i>no</i>", "yes B"),
+    ("<pre>\na\n</pre>", "a"),
+    ("<input type=submit value=Go><input value=v type=text><input type=hidden value=h>", "Go v"),
+    ("a < b <3 </ x> c <? php> d <!doctype html> e<![CDATA[ f ]]>", "a < b <3 c d e f"),
+    ("t<a href='1", "t"),
+    ("<ul><li><ul><li>deep</ul>after</ul>", "- - deep\n  after"),
+    ("<div hidden style='display:block'>shown</div>", "shown"),
+])
+def test_html_layout_of_less_common_markup(source, text):
+    assert html_text.page_text(source)[0] == text
+
+
+#: Markup that grows costly where a parser looks for the same thing again and again.
+HOSTILE = {
+    "quote": ("<a ", '"'), "quotes": ("<blockquote>x", ""), "items": ("<ul><li>x", ""), "tables": ("<table><tr><td>a<td>b", ""), "comments": ("<!--", ""), "marks": ("<", ""),
+    "ends": ("</b>", ""), "paragraphs": ("<p><b>", ""), "links": ("<a>", ""), "spans": ("<td colspan=1000 rowspan=900>x<tr>", ""), "scripts": ("<script>", ""), "sheets": ("<style>a{", ""),
+    "rules": ("/*{", ""), "attributes": ("<a " + "x " * 50, ">y"), "headings": ("<h1>", ""), "svg": ("<svg><text>a", ""), "data": ("<![CDATA[", ""), "ampersands": ("&am", ""),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_a_megabyte_of_hostile_markup(name):
+    import time
+
+    part, last = HOSTILE[name]
+    head = {"spans": "<table>", "rules": "<style>"}.get(name, "")
+    began = time.process_time()
+    html_text.page_text(head + part * (1_000_000 // len(part)) + last)
+    assert time.process_time() - began < 20  # seconds; in proportion to the page, where squares take hours
+
+
+def test_html_against_the_standard_parser():
+    """Random pages: the words are those that the standard library's tokeniser sees, in its order."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "title")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "title")
+
+        def handle_data(self, data):
+            self.words += [] if self.skip else data.split()
+
+    rng = random.Random(9)
+    inline, blocks = ["b", "i", "em", "span", "a href='x?a=1&amp;b=2'", "code class=\"k\""], ["p", "div", "section", "h2", "blockquote", "article"]
+
+    def flow(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.4 or depth > 4:
+                out.append(" ".join(rng.choices(["alpha", "beta", "&lt;x&gt;", "caf&eacute;", "a&nbsp;b", "1 < 2"], k=rng.randint(1, 5))) + " ")
+            elif kind < 0.6:
+                tag = rng.choice(inline)
+                out.append(f"<{tag}>{flow(depth + 2)}</{tag.split()[0]}>")
+            elif kind < 0.7:
+                out.append("<script>if (a < b) x('</p>');</script><!-- no <p> -->")
+            elif kind < 0.85:
+                out.append("<ul>" + "".join(f"<li>{flow(depth + 1)}" + rng.choice(["", "</li>"]) for _ in range(rng.randint(1, 3))) + "</ul>")
+            else:
+                tag = rng.choice(blocks)
+                out.append(f"<{tag}>{flow(depth + 1)}</{tag}>")
+        return "".join(out)
+
+    for _ in range(300):
+        source = "<title>t</title>" + flow(0)
+        told = Words()
+        told.feed(source)
+        told.close()
+        got = [w for line in html_text.page_text(source)[0].split("\n") for w in line.split()]
+        assert "".join(w for w in got if w != "-") == "".join(told.words), source
+
+
+def test_tables_line_up():
+    """Random grids without spans: every separator of a table stands in one column."""
+    rng = random.Random(4)
+    for _ in range(100):
+        across = rng.randint(1, 5)
+        rows = [["".join(rng.choices("abc日 ", k=rng.randint(0, 9))).strip() or "x" for _ in range(across)] for _ in range(rng.randint(1, 6))]
+        source = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in rows) + "</table>"
+        widths = [max(html_text._width(" ".join(row[k].split())) for row in rows) for k in range(across)]
+        want = []
+        for row in rows:
+            cells = [" ".join(c.split()) for c in row]
+            want.append(" | ".join(c + " " * (w - html_text._width(c)) for c, w in zip(cells, widths)).rstrip())
+        assert html_text.page_text(source)[0] == "\n".join(want).strip("\n")
+
+
 def test_audio_frames_cover_the_end():
     spec = audio.Spec()
     for more in range(1, spec.hop + 2):
