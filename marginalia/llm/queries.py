@@ -76,7 +76,7 @@ _BASE32 = """array_to_string(list_transform(range(8), lambda i: list_reduce(list
 _PLACES = " || ".join(
     f"list_filter(generate_series(0, len(w) - {len(p.split())}), lambda i: w[i + 1 : i + {len(p.split())}] = [{', '.join(repr(x) for x in p.split())}])" for p in license_scan.PHRASES
 )
-_FOUND = " UNION ALL ".join(f"SELECT {label!r} AS label, {sorted(set(text.split()))!r} AS words" for label, text in license_scan.TEMPLATES)
+_NOTICES = ", ".join(f"{{'label': {t.label!r}, 'tokens': {sorted(set(t.tokens()))!r}, 'required': {list(t.required)!r}::VARCHAR[]}}" for t in license_scan.TEMPLATES)
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": f"""
@@ -84,9 +84,13 @@ WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
 split AS (SELECT doc_id, t, regexp_extract_all(t, '{license_scan.WORD}') AS w FROM low),
 base AS (SELECT doc_id, len(w) AS n_words, {_PLACES} AS places, ' ' || array_to_string(w, ' ') || ' ' AS spaced FROM split),
 labelled AS (SELECT *, [x.label for x in [{', '.join(f"{{'phrase': {p!r}, 'label': {label!r}}}" for p, label in license_scan.PHRASES.items())}] if contains(spaced, ' ' || x.phrase || ' ')] AS base FROM base),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(regexp_split_to_array(t, '{license_scan.BLOCK_END}')), '{license_scan.WORD}')) AS b FROM low),
-found AS (SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS score FROM blocks, ({_FOUND})
-  WHERE len(list_intersect(b, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
+notices AS (SELECT unnest([{_NOTICES}], recursive := true)),
+pairs AS (SELECT doc_id, unnest(generate_series(0, len(w) - 2)) AS pos, w FROM split),
+tokens AS (SELECT doc_id, pos // {license_scan.STEP} AS part, w[pos + 1] || ' ' || w[pos + 2] AS token FROM pairs WHERE w[pos + 1] || ' ' || w[pos + 2] IN (SELECT unnest(tokens) FROM notices)
+  UNION ALL SELECT doc_id, pos // {license_scan.STEP}, array_to_string(w[pos + 1 : pos + 4], ' ') FROM pairs WHERE array_to_string(w[pos + 1 : pos + 4], ' ') IN (SELECT unnest(required) FROM notices)),
+blocks AS (SELECT doc_id, block, list(DISTINCT token) AS b FROM (SELECT doc_id, part AS block, token FROM tokens UNION ALL SELECT doc_id, part - 1, token FROM tokens WHERE part > 0) GROUP BY doc_id, block),
+found AS (SELECT doc_id, label, len(list_intersect(b, tokens)) / len(tokens) AS score FROM blocks, notices
+  WHERE len(list_intersect(b, tokens)) >= ceil({license_scan.THRESHOLD} * len(tokens) - 1e-9) AND list_has_all(b, required)),
 best AS (SELECT doc_id, list(DISTINCT label) AS found, max(score) AS best FROM found GROUP BY doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') AS labels,

@@ -51,23 +51,44 @@ def test_license_scan(spark):
 
 
 def test_license_join_by_force(spark):
-    words = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
     rng = random.Random(5)
     rows = []
-    for i in range(300):
-        base = rng.choice(license_scan.TEMPLATES)[1].split()
-        base = [w for w in base if rng.random() > 0.07] + rng.sample(words, rng.randint(0, 6)) + ["other"] * rng.randint(0, 3)
-        rng.shuffle(base)
-        rows.append((i, " ".join(base)))
-    got = {(r["doc_id"], r["label"], round(r["score"], 9)) for r in rows_of(license_scan.matches(docs_frame(spark, rows)))}
+    for i in range(400):
+        base = rng.choice(license_scan.TEMPLATES).text.split()
+        base = [w for w in base if rng.random() > 0.04]
+        for _ in range(rng.randint(0, 2)):
+            base.insert(rng.randrange(len(base) + 1), "other")
+        other = rng.choice(license_scan.TEMPLATES).text.split()
+        rows.append((i, " ".join(["x"] * rng.choice([0, 3, 100, 120, 200]) + base + ["y"] * rng.randint(0, 3) + other[: rng.randint(0, len(other))])))
+    got = {(r["doc_id"], r["block"], r["label"], round(r["score"], 9)) for r in rows_of(license_scan.matches(docs_frame(spark, rows)))}
     want = set()
     for i, text in rows:
-        held = set(text.split())
-        for label, t in license_scan.TEMPLATES:
-            share = len(held & set(t.split())) / len(set(t.split()))
-            if share >= license_scan.THRESHOLD - 1e-9:
-                want.add((i, label, round(share, 9)))
-    assert got == want and len(want) > 50
+        words = text.split()
+        for block in range(len(words) // license_scan.STEP + 1):
+            last = (block + 2) * license_scan.STEP
+            held = {f"{a} {b}" for a, b in zip(words[block * license_scan.STEP : last], words[block * license_scan.STEP + 1 : last + 1])}
+            held |= {" ".join(words[at : at + 4]) for at in range(block * license_scan.STEP, last)}
+            for t in license_scan.TEMPLATES:
+                tokens = set(t.tokens())
+                if len(held & tokens) >= license_scan.THRESHOLD * len(tokens) - 1e-9 and held >= set(t.required):
+                    want.add((i, block, t.label, round(len(held & tokens) / len(tokens), 9)))
+    assert got == want and len(want) > 100
+
+
+def test_license_notices_in_the_wild(spark):
+    """Canonical notices as they stand in files: wrapped, in comments, with words changed; and look-alikes."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n * 1. Redistributions of source code"
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {} as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
+    texts = [
+        (mit, "mit"), ("filler " * 117 + mit + " tail" * 300, "mit"), (mit.replace("obtaining a copy", "who obtains one copy"), "mit"), (bsd, "bsd"),
+        (gnu.format("General Public License", 3), "gpl-3"), (gnu.format("General Public License", 2), "gpl-2"), (gnu.format("Lesser General Public License", 3), "lgpl-3"),
+        ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.', "apache-2"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this", "mpl-2"),
+        ("the license is under MIT and was released", ""), ("license mit the under released", ""), ("A fee is charged to the person; copies of this free software are granted.", ""), ("redistribution in binary and source forms of modification", ""),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in rows_of(license_scan.scan(docs_frame(spark, [(i, t) for i, (t, _) in enumerate(texts)])))}
+    assert got == {i: label for i, (_, label) in enumerate(texts)}
 
 
 # 2
