@@ -118,6 +118,29 @@ def test_top_k_prunes():
     assert ids.tolist() == [1, 2, 3, 4, 5] and set(scores) == {1000} and scored == 1
 
 
+def test_top_k_moves_only_blocks_that_can_hold_a_result(spark):
+    """Vectors that lie together by id: most pairs of a group and a block stay where they are, and no result is lost."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 8)) * 4
+    rows = [(i, (centres[i // 50] + rng.normal(size=8) * 0.05).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    usable = topk.usable(df, "vec_id", "embedding")
+    blocks = topk.runtime.materialize(topk.pack(usable.repartitionByRange(4, "id").sortWithinPartitions("id"), 25), "blocks")
+    asked = usable.filter("id % 50 = 0").repartitionByRange(20, "id").sortWithinPartitions("id")
+    groups = topk.runtime.materialize(topk.pack(asked, 2).drop("low", "high"), "groups")
+    n = groups.count()
+    groups = groups.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int"))
+    alive = topk.survivors(topk.seeds(groups, blocks, n, 5), blocks, n)
+    assert alive.count() < 0.5 * blocks.count() * groups.select("g").distinct().count()
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=25, group_rows=2, blocks_per_cell=4).collect())
+    held = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
+    want = []
+    for q in range(0, 2000, 50):
+        best = sorted((-int(held[q] @ held[i]), i) for i in held if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 # 3
 
 
