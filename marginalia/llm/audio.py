@@ -4,10 +4,12 @@ A payload becomes an 8-bit mono PCM WAV column (:func:`media_table`).  Features
 are computed from the samples read back out of that container: the signal is
 resampled by a polyphase filter, cut into overlapped Hann frames, projected on
 a mel filterbank and grouped into windows of a fixed number of frames, so each
-window is one fixed-shape tensor with a time span (:func:`feature_table`, and
-:func:`tensors` for the Arrow extension column).  Speech-like activity comes
-from frame energy with two thresholds: a segment opens above the upper one and
-closes below the lower one.
+window is one fixed-shape tensor with a time span.  Windows are stored as Arrow
+streams with a fixed-shape tensor column, some hundred documents a row
+(:func:`feature_store`, :func:`read_features`), or as plain rows
+(:func:`feature_table`, :func:`tensors`).  Speech-like activity comes from frame
+energy with two thresholds: a segment opens above the upper one and closes below
+the lower one.
 
 Every row is computed alone, in frame blocks of bounded size, so nothing is
 shuffled and a lost executor costs only its own tasks.
@@ -155,11 +157,12 @@ class Features:
     segments: np.ndarray  # segments x 2, seconds
     n_frames: int
 
-    def digest(self) -> str:
-        """Counts, the active share, and a hash of the tensors in hundredths."""
-        steps = np.rint(self.tensors * 100).astype("<i2")
+    def digest(self, stored: np.ndarray | None = None) -> str:
+        """Counts, the active share, and a hash of the tensors (as read back, where given) in hundredths."""
+        held = self.tensors if stored is None else stored
+        steps = np.rint(held * 100).astype("<i2")
         busy = float((self.segments[:, 1] - self.segments[:, 0]).sum())
-        return f"frames={self.n_frames};windows={len(self.tensors)};segments={len(self.segments)};active={busy:.3f};mel={hashlib.sha1(steps.tobytes()).hexdigest()}"
+        return f"frames={self.n_frames};windows={len(held)};segments={len(self.segments)};active={busy:.3f};mel={hashlib.sha1(steps.tobytes()).hexdigest()}"
 
 
 def analyse(rate: int, payload: bytes, spec: Spec) -> Features:
@@ -216,6 +219,47 @@ def tensors(table: pa.Table, spec: Spec = Spec()) -> pa.FixedShapeTensorArray:
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), held)
 
 
+def window_stream(doc_ids: list, features: list[Features], spec: Spec = Spec()) -> bytes:
+    """The windows of some documents as an Arrow stream: doc_id, document's place, window, time span and tensor."""
+    counts = [len(f.tensors) for f in features]
+    flat = np.concatenate([f.tensors.reshape(-1) for f in features])
+    shape = (spec.window, spec.bands)
+    held = pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), shape[0] * shape[1])
+    spans = np.concatenate([f.spans for f in features])
+    columns = {
+        "doc_id": pa.array(np.repeat(np.array([0 if i is None else i for i in doc_ids], np.int64), counts), mask=np.repeat([i is None for i in doc_ids], counts)),
+        "place": pa.array(np.repeat(np.arange(len(counts), dtype=np.int32), counts)),
+        "window": pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts])),
+        "start_s": pa.array(spans[:, 0]),
+        "end_s": pa.array(spans[:, 1]),
+        "tensor": pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), held),
+    }
+    table = pa.table(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def read_features(stream: bytes) -> pa.Table:
+    """The windows in a stored stream; ``tensor`` is a fixed-shape tensor column."""
+    with pa.ipc.open_stream(stream) as held:
+        return held.read_all()
+
+
+def feature_store(media: DataFrame, *, spec: Spec = Spec(), documents: int = 256) -> DataFrame:
+    """Rows ``documents, windows, stream``: the windows of up to ``documents`` rows of ``media`` each."""
+    runtime.ship(media.sparkSession)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(at, documents) for batch in batches for at in range(0, batch.num_rows, documents)):
+            got = [analyse(*from_wav(held.as_py()), spec) for held in part.column(1)]
+            sizes = [pa.array([len(got)], pa.int32()), pa.array([sum(len(f.tensors) for f in got)], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*sizes, pa.array([window_stream(part.column(0).to_pylist(), got, spec)], pa.binary())], names=["documents", "windows", "stream"])
+
+    return media.select("doc_id", "media").mapInArrow(store, "documents int, windows bigint, stream binary")
+
+
 def audio_digest(docs: DataFrame, *, spec: Spec = Spec()) -> DataFrame:
     """Per document: the stored form's and the payload's digests, and a feature string."""
     runtime.ship(docs.sparkSession)
@@ -224,13 +268,19 @@ def audio_digest(docs: DataFrame, *, spec: Spec = Spec()) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, stored, n_bytes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        for part in (batch.slice(at, 64) for batch in batches for at in range(0, batch.num_rows, 64)):
+            rows, got = [], []
+            for stored, n_bytes in zip(part.column(1), part.column(2).to_pylist()):
                 media = stored.as_py()
                 rate, payload = from_wav(media)
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), analyse(rate, payload, spec).digest()))
-            columns = list(zip(*rows)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    return media_table(docs, spec=spec).mapInArrow(read, schema)
+                got.append(analyse(rate, payload, spec))
+                rows.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest()))
+            windows = read_features(window_stream(part.column(0).to_pylist(), got, spec))
+            held = windows.column("tensor").combine_chunks().to_numpy_ndarray()
+            edges = np.searchsorted(np.asarray(windows.column("place")), np.arange(len(got) + 1))
+            features = [f.digest(held[a:b]) for f, a, b in zip(got, edges, edges[1:])]
+            columns = [[*column] for column in zip(*rows)] + [features]
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds[1:])]], names=names)
+
+    # Stored in the shared folder and read back, as media tables are in use.
+    return runtime.materialize(media_table(docs, spec=spec), "media").mapInArrow(read, schema)

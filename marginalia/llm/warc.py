@@ -11,7 +11,8 @@ bounded by ``archive_bytes`` of records.  :func:`export` puts them out as
 ``.warc.zst`` files, :func:`read_archives` parses them again.
 
 Payload groups are joined with their response by payload digest; only that join
-moves payloads, once, and a hot digest on its streamed side can be split.
+moves payloads, once.  Groups that hold more than one in ``HOT_SHARES`` of all
+shared payloads, at most as many, meet a broadcast instead and are dealt evenly.
 
 Defined results: null html is the empty payload; rows that repeat the
 response's id are responses too; a null id never wins over a number (a group
@@ -38,6 +39,7 @@ from marginalia import runtime
 #: Magic number of the skippable frame that holds a dictionary (fixed value of the format).
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HOT_SHARES = 256
 _SAMPLE_BYTES = 2 << 20
 _DICTIONARY_BYTES = 32 << 10
 
@@ -46,9 +48,18 @@ def assign(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, and refers_to (null for responses)."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload"))
-    shared = keyed.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("digest", "size", "response")
-    joined = keyed.join(shared.hint("shuffle_hash"), ["digest", "size"], "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
+    shared = keyed.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
+    shared = runtime.materialize(shared, "shared")
+    held = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARES > held
+    often = shared.filter(hot).select("digest", "size", F.col("response").alias("often"), F.lit(True).alias("hot"))
+    told = keyed.join(F.broadcast(often), ["digest", "size"], "left")
+    # A hot row has its answer; a key of its own deals it evenly and meets nothing.
+    key = F.when(F.col("hot"), F.concat("digest", F.lit("-"), F.monotonically_increasing_id())).otherwise(F.col("digest"))
+    seldom = shared.filter(~hot).select(F.col("digest").alias("key"), "size", "response")
+    joined = told.withColumn("key", key).join(seldom.hint("shuffle_hash"), ["key", "size"], "left")
+    response = F.coalesce("response", "often")
+    refers = F.when(~F.col("page_id").eqNullSafe(response), response)
     return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
 
 

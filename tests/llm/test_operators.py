@@ -191,6 +191,57 @@ def test_audio_parts(spark):
     assert all(a < b for a, b in zip(windows.column("start_s").to_pylist(), windows.column("end_s").to_pylist()))
 
 
+def test_audio_features_by_force():
+    """Resampling, mel rows and segments against their definitions, sample by sample."""
+    rng = np.random.default_rng(6)
+    spec = audio.Spec()
+    x = rng.normal(size=700)
+    bank = audio._filter_bank(1, 2, spec.taps)[0]
+    padded = np.concatenate([np.zeros(spec.taps - 1 - spec.taps // 2), x, np.zeros(spec.taps)])
+    slow = [sum(bank[t] * padded[2 * m + t] for t in range(spec.taps)) for m in range(350)]
+    half = audio.resample(x, 16000, 8000, spec.taps)
+    assert np.allclose(half, slow)
+    mels, energy = audio.log_mel(half, spec)
+    mel, hertz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = hertz(np.linspace(0, mel(4000), spec.bands + 2))
+    signal = np.concatenate([half, np.zeros((spec.frame - len(half)) % spec.hop)])
+    for f in range(len(mels)):
+        part = signal[f * spec.hop : f * spec.hop + spec.frame]
+        assert np.isclose(energy[f], 10 * np.log10(np.mean(part**2) + 1e-10))
+        wave = part * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(spec.frame) / (spec.frame - 1)))
+        power = [abs(sum(wave * np.exp(-2j * np.pi * k * np.arange(spec.frame) / spec.frame))) ** 2 for k in range(spec.frame // 2 + 1)]
+        for b in (0, 5, spec.bands - 1):
+            total = sum(p * max(0, min((k * 8000 / spec.frame - edges[b]) / (edges[b + 1] - edges[b]), (edges[b + 2] - k * 8000 / spec.frame) / (edges[b + 2] - edges[b + 1]))) for k, p in enumerate(power))
+            assert np.isclose(mels[f, b], np.log10(total + 1e-10), atol=1e-4)
+    for _ in range(50):
+        level = rng.integers(0, 10, 30).astype(float)
+        on, want = False, []
+        low, high = level.min() + 0.4 * np.ptp(level), level.min() + 0.6 * np.ptp(level)
+        for f, e in enumerate(level):
+            if not on and e >= high:
+                on, first = True, f
+            elif on and e < low:
+                on = False
+                want.append([first, f])
+        assert audio.active(level, 0.6, 0.4).tolist() == want + ([[first, 30]] if on else [])
+
+
+def test_audio_streams_hold_tensors(spark):
+    media = audio.media_table(docs_frame(spark))
+    stored = rows_of(audio.feature_store(media, documents=4))
+    plain = {(r["doc_id"], r["window"], r["start_s"], r["end_s"]): r["tensor"] for r in rows_of(audio.feature_table(media))}
+    tables = [audio.read_features(r["stream"]) for r in stored]
+    assert sum(r["documents"] for r in stored) == len(TEXTS) and all(t.num_rows == r["windows"] for t, r in zip(tables, stored))
+    seen = 0
+    for t in tables:
+        assert t.schema.field("tensor").type == audio.pa.fixed_shape_tensor(audio.pa.float32(), (64, 32))
+        held = t.column("tensor").combine_chunks().to_numpy_ndarray()
+        for key, tensor in zip(zip(*(t.column(c).to_pylist() for c in ("doc_id", "window", "start_s", "end_s"))), held):
+            seen += 1
+            assert np.array_equal(np.array(plain[key], np.float32).reshape(64, 32), tensor)
+    assert seen == audio.feature_table(media).count()
+
+
 # 5
 
 
@@ -287,6 +338,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert sum(fields["WARC-Type"] == "response" for fields, _ in records) == 4
 
 
+def test_warc_groups_hot_and_rare(spark):
+    """A payload that most pages share, many pairs, and single ones: each group's largest id is the response."""
+    rows = [(i, "u", "hot") for i in range(600)] + [(1000 + i, "u", f"pair {i // 2}") for i in range(700)] + [(None, "u", "hot"), (None, "u", "lone"), (None, "u", "lone")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for r in rows_of(warc.assign(df)):
+        text, i = bytes(r["payload"]).decode(), r["page_id"]
+        want = {"hot": 599, "lone": None}.get(text, None if text[:4] != "pair" else 1001 + 2 * int(text[5:]))
+        assert r["refers_to"] == (None if i == want else want)
+    assert warc.assign(df).count() == len(rows)
+
+
 # 8
 
 
@@ -320,6 +382,60 @@ def test_best_fit_keeps_every_constraint(rule):
         assert len(np.unique(bins)) <= np.ceil(lengths.sum() / 1000) * 1.03
 
 
+def test_best_fit_against_the_optimum():
+    """Every way to pack a few pieces: best fit opens at most one bin more, and none more than first fit in that order."""
+    rng = np.random.default_rng(5)
+
+    def fewest(lengths, size):
+        best = [len(lengths)]
+
+        def place(k, bins):
+            if len(bins) >= best[0]:
+                return
+            if k == len(lengths):
+                best[0] = len(bins)
+                return
+            for b in range(len(bins)):
+                if bins[b] + lengths[k] <= size:
+                    place(k + 1, bins[:b] + [bins[b] + lengths[k]] + bins[b + 1 :])
+            place(k + 1, bins + [lengths[k]])
+
+        place(0, [])
+        return best[0]
+
+    over = 0
+    for _ in range(60):
+        lengths = rng.integers(1, 60, rng.integers(1, 9))
+        bins, _ = packing.best_fit(lengths, packing.Capacity(tokens=60))
+        least = fewest(sorted(lengths.tolist(), reverse=True), 60)
+        assert least <= len(np.unique(bins)) <= least + 1
+        over += len(np.unique(bins)) - least
+    assert over <= 6
+
+
+def test_fingerprint_by_force():
+    """Every bit counted shingle by shingle, as the contract words it."""
+    import re
+
+    import xxhash
+
+    rng = random.Random(1)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "B", "é", "İ", " ", "\n", "\x0b", "\xa0", "-"]) for _ in range(rng.randint(0, 60)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) == want
+
+
+def test_statistics_of_plain_texts():
+    """Each statistic is a finite number for any text, and equal texts have equal ones."""
+    for text in [None, "", " ", "a", "A b. C!", LONG, "\n\n", "12 34", "é" * 50]:
+        held = quality.statistics(text)
+        assert len(held) == len(quality.STATISTICS) and np.isfinite(held).all() and list(held) == list(quality.statistics(text))
+
+
 def test_cut():
     assert packing.cut(2048, 2048) == [(0, 2048)] and packing.cut(2049, 2048) == [(0, 1), (1, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
 
