@@ -7,12 +7,13 @@ bytes; inside this module positions are characters.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 #: Unicode White_Space (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = re.compile(f"[{SPACE}]+")
-_OPENER = re.compile(rf"@[{SPACE}]*([^\n{{(@,=%\"#}})]*?)[{SPACE}]*([{{(])")
+_OPENER = re.compile(rf"@[{SPACE}]*+([^\n{{(@,=%\"#}})]*+)[{SPACE}]*+([{{(])")
 _LINE_AT = re.compile(rf"\n[ \t]*@")
 _MARKS = re.compile(r'[{}()"%,=\\]')
 _BARE = re.compile(r"[A-Za-z0-9_:./\-]+")
@@ -60,13 +61,14 @@ class Block:
     value: str | None = None
     error: str | None = None
     entry: Entry | None = None
+    fault: str | None = None  # what keeps a string definition from being one
 
 
 class Malformed(ValueError):
     pass
 
 
-def _end_of(text: str, at: int, opener: str, escapes: bool, keyed: bool = False) -> int:
+def _search_end(text: str, at: int, opener: str, escapes: bool, keyed: bool) -> int:
     """Position after the delimiter that closes a block opened just before ``at``, or -1."""
     closer = "}" if opener == "{" else ")"
     depth, quoted = 0, False
@@ -79,8 +81,8 @@ def _end_of(text: str, at: int, opener: str, escapes: bool, keyed: bool = False)
             line = text.find("\n", at)
             at = len(text) if line < 0 else line
         elif quoted:
-            quote_depth += (mark == "{") - (mark == "}")
-            if mark == '"' and quote_depth <= 0:
+            quote_depth = max(0, quote_depth + (mark == "{") - (mark == "}"))
+            if mark == '"' and quote_depth == 0:
                 quoted = False
         elif mark == closer and depth == 0:
             return at
@@ -95,6 +97,70 @@ def _end_of(text: str, at: int, opener: str, escapes: bool, keyed: bool = False)
     return -1
 
 
+class Ends:
+    """Where the blocks of one text end, in time in proportion to the text however many are asked for.
+
+    Ends are searched for directly until a block has none.  Looking on to the end
+    of the text for every further one would cost squares, so from then on a table
+    answers: from the last mark back, each state's end follows from those of the
+    marks after it.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.places: list[int] = []
+        self.tables: dict[tuple[bool, str], tuple[list[int], list[int]]] = {}
+        self.searching = True
+
+    def after(self, at: int, opener: str, escapes: bool, keyed: bool = False) -> int:
+        """Position after the closing delimiter of the block whose inside begins at ``at``, or -1."""
+        if self.searching:
+            end = _search_end(self.text, at, opener, escapes, keyed)
+            self.searching = end >= 0
+            return end
+        if (escapes, opener) not in self.tables:
+            self._tabulate(escapes)
+        inside = self.tables[escapes, opener][0 if keyed else 1]
+        end = inside[bisect_left(self.places, at)]
+        return -1 if end < 0 else self.places[end] + 1
+
+    def _tabulate(self, escapes: bool) -> None:
+        text = self.text
+        marks = [(m.start(), m[0]) for m in _MARKS.finditer(text)]
+        self.places = places = [p for p, _ in marks]
+        n = len(marks)
+        none = [-1] * (n + 2)
+        closed, quote = none[:], none[:]  # the brace that closes a level, the quote that ends a string
+        inside = {"{": (none[:], none[:]), "(": (none[:], none[:])}
+        for i in range(n - 1, -1, -1):
+            place, mark = marks[i]
+            if mark == "\\":
+                onward = i + 1 + (escapes and i + 1 < n and places[i + 1] == place + 1)
+                for table in (closed, quote, *inside["{"], *inside["("]):
+                    table[i] = table[onward]
+                continue
+            level = closed[i + 1] if mark == "{" else -1  # the brace that closes this one
+            beyond = level + 1 if level >= 0 else n + 1
+            closed[i] = i if mark == "}" else closed[beyond] if mark == "{" else closed[i + 1]
+            quote[i] = i if mark == '"' else quote[beyond] if mark == "{" else quote[i + 1]
+            if mark == "%" and (place == 0 or text[place - 1] != "\\"):
+                line = text.find("\n", place)
+                onward = n if line < 0 else bisect_left(places, line)
+                for opener in "{(":
+                    for table in inside[opener]:
+                        table[i] = table[onward]
+                continue
+            for opener, closer in ("{}", "()"):
+                keyed, bare = inside[opener]
+                if mark == closer:
+                    keyed[i] = bare[i] = i
+                    continue
+                bare[i] = keyed[i + 1] if mark in ",=" else bare[i + 1]
+                keyed[i] = keyed[quote[i + 1] + 1 if quote[i + 1] >= 0 else n + 1] if mark == '"' else keyed[beyond] if mark == "{" else keyed[i + 1]
+        for opener in "{(":
+            self.tables[escapes, opener] = inside[opener]
+
+
 def _skip(text: str, at: int) -> int:
     """Past white space and ``%`` comments."""
     while True:
@@ -198,7 +264,39 @@ def _entry(kind: str, body: str, offset: int) -> Entry:
 
 def _opens(text: str, at: int) -> re.Match | None:
     found = _OPENER.match(text, at)
-    return found if found and _IDENTIFIER.match(found[1]) else None
+    return found if found and _IDENTIFIER.match(found[1].strip(SPACE)) else None
+
+
+def _string_fault(body: str) -> str | None:
+    """Why the body of a string definition is none."""
+    name, equals, value = body.partition("=")
+    if not equals:
+        return "the definition has no value"
+    if not identifier(name.strip(SPACE)):
+        return "the name is not an identifier"
+    try:
+        atoms, _, end = atoms_of(value, _skip(value, 0), name.strip(SPACE))
+    except Malformed as error:
+        return str(error)
+    rest = value[_skip(value, end) :].strip(SPACE).removeprefix(",").strip(SPACE)
+    return "the value is malformed" if not atoms or rest else None
+
+
+def identifier(name: str) -> bool:
+    """Whether a name can stand before ``=``: no delimiters or white space, and no mark of comparison in front."""
+    return bool(name) and name[0] not in ":<->" and not any(c in "@{}\"#'(),=%\\~" or c in SPACE or ord(c) < 32 for c in name)
+
+
+def entry_fault(entry: Entry) -> str | None:
+    """Why an entry that the scanner takes is not valid, or None."""
+    if not entry.key:
+        return "the entry has no key"
+    for f in entry.fields:
+        if not identifier(f.name):
+            return f'field name "{f.name}" is not an identifier'
+        if f.mode == "Missing":
+            return f'field "{f.name}" has no value'
+    return None
 
 
 def _atoms_or_none(text: str) -> list[Atom]:
@@ -208,7 +306,7 @@ def _atoms_or_none(text: str) -> list[Atom]:
         return []
 
 
-def _block(text: str, at: int) -> Block:
+def _block(text: str, at: int, closing: Ends) -> Block:
     found = _opens(text, at)
     line_end = text.find("\n", at)
     line_end = len(text) if line_end < 0 else line_end
@@ -218,10 +316,12 @@ def _block(text: str, at: int) -> Block:
         found_next = re.compile("[@%]").search(text, at + 1)
         end = found_next.start() if found_next else len(text)
         return Block("other", at, end, text[at:end], value=text[at:end])
-    kind, inner = found[1].lower(), found.end()
-    ends = sorted({e for e in (_end_of(text, inner, found[2], escapes, kind in ("preamble", "comment")) for escapes in (True, False)) if e > 0})
+    word, inner = found[1].strip(SPACE), found.end()
+    kind = word.lower()
+    ends = sorted({e for e in (closing.after(inner, found[2], escapes, kind in ("preamble", "comment")) for escapes in (True, False)) if e > 0})
     if len(ends) == 2:  # without escapes it ends earlier: only where something can follow
-        rest = text[ends[0] :].lstrip(SPACE)[:1]
+        gap = _SPACES.match(text, ends[0])
+        rest = text[gap.end() if gap else ends[0] :][:1]
         ends = ends if not rest or rest in "@%" else ends[1:]
     if not ends:
         again = _LINE_AT.search(text, at + 1)
@@ -237,9 +337,9 @@ def _block(text: str, at: int) -> Block:
     if kind == "string":
         name, equals, value = body.partition("=")
         atoms = _atoms_or_none(value) if equals else []
-        return Block("string", at, end, raw, key=name.strip(SPACE).lower() if atoms else "", value=atoms[0].value if len(atoms) == 1 else value.strip(SPACE) if atoms else "")
+        return Block("string", at, end, raw, key=name.strip(SPACE).lower() if atoms else "", value=atoms[0].value if len(atoms) == 1 else value.strip(SPACE) if atoms else "", fault=_string_fault(body))
     try:
-        entry = _entry(found[1], body, inner)
+        entry = _entry(word, body, inner)
     except Malformed as error:
         return Block("failed", at, end, raw, error=str(error))
     return Block("entry", at, end, raw, key=entry.key, entry=entry)
@@ -248,7 +348,7 @@ def _block(text: str, at: int) -> Block:
 def scan(text: str) -> list[Block]:
     """All blocks of a source, in order; their raw texts join to the source."""
     blocks: list[Block] = []
-    at, n = 0, len(text)
+    at, n, closing = 0, len(text), Ends(text)
     while at < n:
         if found := _SPACES.match(text, at):
             block = Block("whitespace", at, found.end(), found[0])
@@ -256,14 +356,14 @@ def scan(text: str) -> list[Block]:
             end = text.find("\n", at)
             end = n if end < 0 else end
             for inside in re.finditer("@", text[at:end]):  # a whole block may follow on the line
-                if (candidate := _opens(text, at + inside.start())) and _end_of(text, candidate.end(), candidate[2], True) > 0 and "\n" not in text[candidate.start() : candidate.end()]:
-                    whole = _block(text, at + inside.start())
+                if (candidate := _opens(text, at + inside.start())) and "\n" not in candidate[0] and closing.after(candidate.end(), candidate[2], True) > 0:
+                    whole = _block(text, at + inside.start(), closing)
                     if whole.kind in ("entry", "string", "preamble"):
                         end = at + inside.start()
                         break
             block = Block("comment", at, end, text[at:end], value=text[at + 1 : end].strip())
         elif text[at] == "@":
-            block = _block(text, at)
+            block = _block(text, at, closing)
         else:
             end = at
             while True:
@@ -298,9 +398,39 @@ def set_field(text: str, key: str, name: str, value: str, occurrence: int = 0) -
     if occurrence >= len(found):
         raise IndexError(f"{key}.{name} has {len(found)} occurrences")
     target = found[occurrence]
-    if value.count("{") != value.count("}"):
-        raise ValueError("unbalanced braces in the new value")
-    if target.mode == "Quoted" and not re.search(r'(?<!\\)"', value) or target.mode == "Braced" or target.mode == "Bare" and _BARE.fullmatch(value):
+    if target.mode == "Missing":
+        if value:
+            raise ValueError("BibTeX field without an assignment cannot be edited to a value")
+        return text
+    if target.mode == "Bare" and _BARE.fullmatch(value):
+        return text[: target.start] + value + text[target.end :]
+    unsafe = "quoted" if target.mode == "Quoted" else "braced"
+    quotes = _plain_places(value, '"')
+    if not _balanced(value) or "\n" in value or _plain_places(value, "%") or _ends_escaped(value) or target.mode == "Quoted" and any(not depth for _, depth in quotes):
+        raise ValueError(f"BibTeX field value contains an unsafe {unsafe} delimiter")
+    if target.mode == "Quoted" and not quotes or target.mode == "Braced":
         return text[: target.start] + value + text[target.end :]
-    lead = " = " if target.mode == "Missing" and text[target.outer_start - 1 : target.outer_start] != "=" else ""
-    return text[: target.outer_start] + lead + "{" + value + "}" + text[target.outer_end :]
+    return text[: target.outer_start] + "{" + value + "}" + text[target.outer_end :]
+
+
+def _plain_places(value: str, char: str) -> list[tuple[int, int]]:
+    """Places of an unescaped character and how many braces are open there."""
+    out, depth = [], 0
+    for found in re.finditer(r"\\.|[{}]|" + re.escape(char), value, re.S):
+        if found[0] == char:
+            out.append((found.start(), depth))
+        depth += (found[0] == "{") - (found[0] == "}")
+    return out
+
+
+def _balanced(value: str) -> bool:
+    depth = 0
+    for found in re.finditer(r"\\.|[{}]", value, re.S):
+        depth += (found[0] == "{") - (found[0] == "}")
+        if depth < 0:
+            return False
+    return not depth
+
+
+def _ends_escaped(value: str) -> bool:
+    return (len(value) - len(value.rstrip("\\"))) % 2 == 1
