@@ -22,6 +22,10 @@ class MissingReferenceError(BibliographyError, KeyError):
     pass
 
 
+class TidyError(BibliographyError, TidySyntaxError):
+    """A source that cannot be formatted."""
+
+
 class Library:
     """Normalised entries in source order."""
 
@@ -36,6 +40,7 @@ class Library:
         if suffix not in ("bib", "yaml", "yml"):
             raise ValueError(f'unsupported bibliography extension "{suffix}"')
         text, notes = _library.decode(Path(path).read_bytes())
+        notes = [f"{path}: {note}" for note in notes]
         got = cls.parse_yaml(text) if suffix != "bib" else cls.parse_bibtex(text, recovery=recovery)
         got._inner.diagnostics[:0] = notes
         return got
@@ -105,40 +110,114 @@ class Library:
         return [r.normal() for r in self._inner.records]
 
 
+@dataclass(frozen=True)
+class Style:
+    """A style by a bundled name, or read from the XML of an independent one."""
+
+    name: str
+    id: str | None = None
+    title: str | None = None
+
+    @classmethod
+    def load(cls, name: str) -> Style:
+        if name.lstrip().startswith("<"):
+            raise ValueError(f"unknown bundled style {name!r}")
+        return cls(_cite.style(name))
+
+    @classmethod
+    def from_xml(cls, xml: str) -> Style:
+        from marginalia.core.csl import XmlStyle
+
+        told = XmlStyle(xml).info()
+        return cls(xml, told.get("id"), told.get("title"))
+
+    @classmethod
+    def from_path(cls, path: str | Path) -> Style:
+        return cls.from_xml(Path(path).read_text(encoding="utf-8"))
+
+    @staticmethod
+    def names() -> tuple[str, ...]:
+        return _cite.STYLES
+
+
+@dataclass(frozen=True)
+class Locale:
+    """A bundled language of rendering."""
+
+    name: str
+
+    @classmethod
+    def load(cls, name: str) -> Locale:
+        return cls(_cite.locale(name))
+
+    @staticmethod
+    def names() -> tuple[str, ...]:
+        return _cite.LOCALES
+
+
+class CitationGroup(tuple):
+    """Several cites that are rendered as one citation."""
+
+    def __new__(cls, cites: Iterable[str | Cite]):
+        if isinstance(cites, (str, Cite)):
+            raise TypeError("a group is made of several keys or cites")
+        held = [Cite(c) if isinstance(c, str) else c for c in cites]
+        if not held:
+            raise ValueError("a citation has one item at least")
+        if bad := [c for c in held if not isinstance(c, Cite)]:
+            raise TypeError(f"not a key or a cite: {bad[0]!r}")
+        return super().__new__(cls, held)
+
+
 @dataclass(frozen=True)
 class Citation:
     """An identified citation of a key, a :class:`Cite`, or several."""
 
     id: str
-    group: str | Cite | tuple[Cite, ...]
+    group: str | Cite | CitationGroup
+
+    def __post_init__(self):
+        if isinstance(self.group, (list, set, dict)):
+            raise TypeError("several cites are given as a CitationGroup")
 
     def cites(self) -> list[Cite]:
-        group = (self.group,) if isinstance(self.group, (str, Cite)) else self.group
-        out = [Cite(c) if isinstance(c, str) else c for c in group]
-        if not out:
-            raise ValueError("a citation has one item at least")
+        out = [Cite(c) if isinstance(c, str) else c for c in ((self.group,) if isinstance(self.group, (str, Cite)) else CitationGroup(self.group))]
         for c in out:
             if c.label not in _cite.LOCATORS:
-                raise ValueError(f"unknown locator label {c.label!r}")
+                raise ValueError(f'unknown locator label "{c.label}"')
         return out
 
 
 @dataclass
 class RenderedDocument:
     citations: dict[str, _cite.Rendered]
-    bibliography_text: str
-    bibliography_html: str
+    bibliography: _cite.Bibliography
     citation_order: list[str] = field(default_factory=list)
 
+    @property
+    def bibliography_text(self) -> str:
+        return self.bibliography.text
+
+    @property
+    def bibliography_html(self) -> str:
+        return self.bibliography.html
+
     def __getitem__(self, name: str) -> _cite.Rendered:
         return self.citations[name]
 
+    def __iter__(self):
+        return iter(self.citation_order)
+
+    def __len__(self) -> int:
+        return len(self.citation_order)
+
 
 class Document:
-    """A library under a bundled style."""
+    """A library under a style and a locale."""
 
-    def __init__(self, library: Library, style: str = "apa"):
-        self.library, self.style = library, _cite.style(style)
+    def __init__(self, library: Library, style: str | Style = "apa", locale: str | Locale = "en-US"):
+        self.library, self.style = library, _cite.style(style.name if isinstance(style, Style) else style)
+        self.locale = _cite.locale(locale.name if isinstance(locale, Locale) else locale)
 
     def render(self, citations: Iterable[Citation]) -> RenderedDocument:
         citations = list(citations)
@@ -146,17 +225,49 @@ class Document:
         if len(set(order)) < len(order):
             raise ValueError("citation ids must be unique")
         try:
-            done, (text, shown) = _cite.render_document(self.library._inner, [(c.id, c.cites()) for c in citations], self.style)
+            done, shown = _cite.render_document(self.library._inner, [(c.id, c.cites()) for c in citations], self.style, self.locale)
         except KeyError as error:
             raise MissingReferenceError(error.args[0]) from None
-        return RenderedDocument(dict(done), text, shown, order)
+        return RenderedDocument(dict(done), shown, order)
 
-    def cited_bibliography(self, citations: Iterable[Citation]) -> tuple[str, str]:
-        got = self.render(citations)
-        return got.bibliography_text, got.bibliography_html
+    def cited_bibliography(self, *citations: Citation | Iterable[Citation]) -> _cite.Bibliography:
+        given = [c for x in citations for c in ([x] if isinstance(x, Citation) else x)]
+        return self.render(given).bibliography
 
-    def full_bibliography(self) -> tuple[str, str]:
-        return _cite.bibliography(self.library.values(), self.style)
+    def full_bibliography(self) -> _cite.Bibliography:
+        return _cite.bibliography(self.library.values(), self.style, self.locale)
+
+
+class EntryMap:
+    """The raw entries of a source by key; keys may repeat."""
+
+    def __init__(self, entries: list[_scan.Entry]):
+        self._entries = entries
+
+    def get_all(self, key: str) -> list[_scan.Entry]:
+        return [e for e in self._entries if e.key == key]
+
+    def get_unique(self, key: str) -> _scan.Entry:
+        found = self.get_all(key)
+        if not found:
+            raise KeyError(key)
+        if len(found) > 1:
+            raise BibliographyError(f'key "{key}" occurs {len(found)} times')
+        return found[0]
+
+    __getitem__ = get_unique
+
+    def __contains__(self, key: str) -> bool:
+        return bool(self.get_all(key))
+
+    def __iter__(self):
+        return iter(dict.fromkeys(e.key for e in self._entries))
+
+    def __len__(self) -> int:
+        return len(set(e.key for e in self._entries))
+
+    def values(self) -> list[_scan.Entry]:
+        return list(self._entries)
 
 
 class BibDocument:
@@ -191,6 +302,10 @@ class BibDocument:
     def strings(self) -> dict[str, str]:
         return dict(sorted({b.key: b.value or "" for b in self.blocks if b.kind == "string" and b.key}.items()))
 
+    @property
+    def entries(self) -> EntryMap:
+        return EntryMap([b.entry for b in self.blocks if b.entry])
+
     def occurrences(self, key: str) -> list[_scan.Entry]:
         return [b.entry for b in self.blocks if b.entry and b.entry.key == key]
 
@@ -224,7 +339,10 @@ class BibDocument:
         Path(path).write_text(self.source, encoding="utf-8")
 
     def tidy(self, **options) -> TidyResult:
-        return tidy(self.source, TidyOptions.check(**options))
+        try:
+            return tidy(self.source, TidyOptions.check(**options))
+        except TidySyntaxError as error:
+            raise TidyError(error.message, error.line, error.column, error.byte, error.character) from None
 
 
 def tidy_file(path: str | Path, *, output: str | Path | None = None, **options) -> TidyResult:
@@ -235,12 +353,12 @@ def tidy_file(path: str | Path, *, output: str | Path | None = None, **options)
     return got
 
 
-def cite(path: str | Path, citation: str | Cite, style: str = "apa") -> _cite.Rendered:
-    return Document(Library.read(path), style).render([Citation("1", citation)])["1"]
+def cite(path: str | Path, citation: str | Cite | CitationGroup, style: str | Style = "apa", locale: str | Locale = "en-US") -> _cite.Rendered:
+    return Document(Library.read(path), style, locale).render([Citation("1", citation)])["1"]
 
 
-def full_bibliography(path: str | Path, style: str = "apa") -> tuple[str, str]:
-    return Document(Library.read(path), style).full_bibliography()
+def full_bibliography(path: str | Path, style: str | Style = "apa", locale: str | Locale = "en-US") -> _cite.Bibliography:
+    return Document(Library.read(path), style, locale).full_bibliography()
 
 
-__all__ = ["BibDocument", "BibliographyError", "Citation", "Cite", "Document", "Library", "MissingReferenceError", "RenderedDocument", "TidyOptions", "TidyResult", "TidySyntaxError", "cite", "full_bibliography", "tidy", "tidy_file"]
+__all__ = ["BibDocument", "BibliographyError", "Citation", "CitationGroup", "Cite", "Document", "EntryMap", "Library", "Locale", "MissingReferenceError", "RenderedDocument", "Style", "TidyError", "TidyOptions", "TidyResult", "TidySyntaxError", "cite", "full_bibliography", "tidy", "tidy_file"]

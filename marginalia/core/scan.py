@@ -50,6 +50,16 @@ class Entry:
         low = name.lower()
         return next((f.value for f in self.fields if f.name.lower() == low), None)
 
+    def get_all(self, name: str) -> list[Field]:
+        low = name.lower()
+        return [f for f in self.fields if f.name.lower() == low]
+
+    def get_unique(self, name: str) -> Field:
+        found = self.get_all(name)
+        if len(found) != 1:
+            raise KeyError(name) if not found else ValueError(f'field "{name}" occurs {len(found)} times')
+        return found[0]
+
 
 @dataclass
 class Block:

@@ -142,22 +142,20 @@ def _both(rendered: _cite.Rendered | None):
 
 
 def _citing(bibtex, wanted, render: Callable, returns: T.DataType, style: str, locale: str, recovery: str) -> Column:
-    of, strict = _cite.style(style), _strict(recovery)
-    if locale not in ("", "en-US"):
-        raise ValueError(f"unknown bundled locale {locale!r}")
+    of, strict, language = _cite.style(style), _strict(recovery), _cite.locale(locale)
 
     def work(source, keys):
         if source is None or keys is None:
             return None
         got = _parsed(source, strict)
-        return None if isinstance(got, str) else render(got, keys, of)
+        return None if isinstance(got, str) else render(got, keys, of, language)
 
     return _apply(work, returns, bibtex, wanted)
 
 
 def cite_rendered(bibtex, key, *, style="apa", locale="en-US", recovery="error") -> Column:
     """Text and HTML of the citation of one key; null for a missing key."""
-    return _citing(bibtex, key, lambda lib, k, of: _both(_cite.cite_group(lib, [_cite.Cite(k)], of)), RENDERED, style, locale, recovery).alias("cite_rendered")
+    return _citing(bibtex, key, lambda lib, k, of, to: _both(_cite.cite_group(lib, [_cite.Cite(k)], of, language=to)), RENDERED, style, locale, recovery).alias("cite_rendered")
 
 
 def cite(bibtex, key, **options) -> Column:
@@ -171,8 +169,8 @@ def cite_html(bibtex, key, **options) -> Column:
 def cite_each_rendered(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
     """A citation per key of a list; null if any key is null or missing."""
 
-    def render(lib, wanted, of):
-        got = None if any(k is None for k in wanted) else _cite.cite_each(lib, list(wanted), of)
+    def render(lib, wanted, of, to):
+        got = None if any(k is None for k in wanted) else _cite.cite_each(lib, list(wanted), of, to)
         return None if got is None else [_both(r) for r in got]
 
     return _citing(bibtex, keys, render, T.ArrayType(RENDERED), style, locale, recovery).alias("cite_each_rendered")
@@ -189,8 +187,8 @@ def cite_each_html(bibtex, keys, **options) -> Column:
 def cite_group_rendered(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
     """One citation of all keys of a list; empty for none."""
 
-    def render(lib, wanted, of):
-        return None if any(k is None for k in wanted) else _both(_cite.cite_group(lib, [_cite.Cite(k) for k in wanted], of))
+    def render(lib, wanted, of, to):
+        return None if any(k is None for k in wanted) else _both(_cite.cite_group(lib, [_cite.Cite(k) for k in wanted], of, language=to))
 
     return _citing(bibtex, keys, render, RENDERED, style, locale, recovery).alias("cite_group_rendered")
 
@@ -205,7 +203,7 @@ def cite_group_html(bibtex, keys, **options) -> Column:
 
 def full_bibliography_rendered(bibtex, *, style="apa", locale="en-US", recovery="error") -> Column:
     """Text and HTML of all entries' bibliography."""
-    return _citing(bibtex, F.lit(""), lambda lib, _, of: _cite.bibliography(lib.records, of), RENDERED, style, locale, recovery).alias("full_bibliography_rendered")
+    return _citing(bibtex, F.lit(""), lambda lib, _, of, to: tuple(_cite.bibliography(lib.records, of, to)), RENDERED, style, locale, recovery).alias("full_bibliography_rendered")
 
 
 def full_bibliography_text(bibtex, **options) -> Column:
@@ -373,7 +371,7 @@ def register(spark: SparkSession, prefix: str = "bib_") -> None:
         "cite_of": (rendering(lambda lib, k, of: _both(_cite.cite_group(lib, [_cite.Cite(k)], of))), RENDERED),
         "cite_each_of": (rendering(each), T.ArrayType(RENDERED)),
         "cite_group_of": (rendering(group), RENDERED),
-        "full_bibliography_of": (rendering(lambda lib, _, of: _cite.bibliography(lib.records, of)), RENDERED),
+        "full_bibliography_of": (rendering(lambda lib, _, of: tuple(_cite.bibliography(lib.records, of))), RENDERED),
         "tidy_bibtex_report": (formatted, TIDIED),
     }
     for name, (work, returns) in wide.items():

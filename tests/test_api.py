@@ -35,3 +35,37 @@ def test_raw_document(tmp_path):
         doc["a"]
     doc.set_field("b", "title", "New")
     assert doc.to_bibtex() == (BIB + "% note\n@misc{a, x=1}\n@broken{").replace("{U}", "{New}")
+
+
+def test_styles_locales_and_groups(tmp_path):
+    doc = api.Document(api.Library.parse_bibtex(BIB), api.Style.load("APA"), api.Locale.load("en-GB"))
+    got = doc.render([api.Citation("1", api.CitationGroup(["a", api.Cite("b", "3", "figure")]))])
+    assert got["1"].to_text() == "(Lund, 2024; Rask, 2020, fig. 3)" and list(got) == ["1"] and got.bibliography.tree[0]["kind"] == "bibliography-entry"
+    assert doc.cited_bibliography(api.Citation("1", "a")).to_html().count("csl-entry") == 1
+    xml = '<style xmlns="http://purl.org/net/xbiblio/csl" version="1.0"><info><title>T</title><id>i</id></info><citation><layout><text variable="title"/></layout></citation></style>'
+    (tmp_path / "s.csl").write_text(xml)
+    style = api.Style.from_path(tmp_path / "s.csl")
+    assert (style.id, style.title) == ("i", "T") and api.Document(api.Library.parse_bibtex(BIB), style).render([api.Citation("1", "a")])["1"].text == "T"
+    for make, error in ((lambda: api.CitationGroup("a"), TypeError), (lambda: api.CitationGroup([]), ValueError), (lambda: api.Citation("1", ["a"]), TypeError), (lambda: api.Style.load("nope"), ValueError), (lambda: api.Locale.load("xx"), ValueError), (lambda: api.Citation("1", api.Cite("a", "1", "nonsense")).cites(), ValueError)):
+        with pytest.raises(error):
+            make()
+
+
+def test_entry_and_field_maps():
+    entries = api.BibDocument.parse(BIB + "@misc{a, x=1, x=2}").entries
+    assert len(entries) == 2 and list(entries) == ["a", "b"] and len(entries.get_all("a")) == 2 and entries["b"].get("title") == "U" and "c" not in entries
+    assert [f.value for f in entries.get_all("a")[1].get_all("X")] == ["1", "2"] and entries["b"].get_unique("year").value == "2020"
+    for call, error in ((lambda: entries["a"], api.BibliographyError), (lambda: entries["c"], KeyError), (lambda: entries.get_all("a")[1].get_unique("x"), ValueError)):
+        with pytest.raises(error):
+            call()
+    with pytest.raises(api.TidyError) as error:
+        api.BibDocument.parse("@broken{").tidy()
+    assert isinstance(error.value, api.BibliographyError) and error.value.line == 1
+
+
+def test_yaml_keeps_rich_values():
+    lib = api.Library.parse_yaml("k:\n  type: Video\n  title: {value: T, short: t}\n  url: {value: 'http://x', date: 2020-09-17}\n  parent:\n    - {type: Conference, title: C}\n    - {type: Video, url: {value: 'http://y', date: 2021-01-02}}\n")
+    held = lib.to_dicts()[0]
+    assert held["url"] == {"date": "2020-09-17", "value": "http://x"} and held["parent"][1]["url"]["date"] == "2021-01-02" and lib["k"].title == "T"
+    with pytest.raises(api.BibliographyError):
+        api.Library.parse_yaml("k: 1")

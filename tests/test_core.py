@@ -69,8 +69,14 @@ def test_citations_and_bibliographies():
     assert cite.bibliography(lib.records[1:], "apa")[0] == "Rask, R. (2022). Shelves at Sea. Lantern House."
     assert cite.bibliography(lib.records[:1], "ieee")[0] == "[1] J. Lund, “Tidal Ledgers,” Annals of Quiet Harbours, vol. 12, pp. 1–20, 2024, doi: 10.5555/quiet.7."
     assert '<a href="https://doi.org/10.5555/quiet.7">' in cite.bibliography(lib.records[:1], "apa")[1]
-    nodes = cite.entry(lib.records[0], "apa").tree
-    assert {"type": "markup", "mark": "i", "text": "Annals of Quiet Harbours"} in nodes and nodes[-1]["type"] == "link"
+    shown = cite.bibliography(lib.records[:1], "ieee").tree[0]
+    assert shown["kind"] == "bibliography-entry" and shown["key"] == "lund2024" and shown["first_field"]["meta"] == "CitationNumber" and shown["children"][0] is shown["first_field"]
+    texts = [n for n in shown["children"][1:] if n["kind"] == "Text"]
+    assert shown["first_field"]["children"][0]["text"] == "[1]" and [n["text"] for n in texts if n["formatting"]["font_style"] == "Italic"] == ["Annals of Quiet Harbours"]
+    assert [n["url"] for n in shown["children"] if n["kind"] == "Link"] == ["https://doi.org/10.5555/quiet.7"]
+    one = cite.cite_group(lib, [cite.Cite("lund2024")], "ieee").tree[0]
+    assert one["kind"] == "Element" and one["meta"] == "Entry" and one["children"][0]["meta"] == "CitationNumber"
+    assert set(one["children"][0]["children"][0]["formatting"]) == {"font_style", "font_variant", "font_weight", "text_decoration", "vertical_align"}
     assert cite.cite_group(lib, [cite.Cite("nobody")], "apa") is None
     assert "href" not in cite.Rendered([("x", "", "javascript:alert(1)")]).html
 
@@ -200,3 +206,29 @@ def test_scanning_takes_time_in_proportion(part):
     began = time.process_time()
     scan(part * (200_000 // len(part)))
     assert time.process_time() - began < 10
+
+
+def test_names_are_told_apart():
+    lib = library.parse_bibtex("@misc{a, author={Lund, Jonna}, title={A}, year=2021}@misc{b, author={Lund, Kim}, title={B}, year=2021}@misc{c, author={Lund, Jonna}, title={C}, year=2020}@misc{d, author={Smith, Jr., John}, title={D}, year=2021}")
+    assert [r.text for r in cite.cite_each(lib, ["a", "b"], "apa")] == ["(J. Lund, 2021)", "(K. Lund, 2021)"]
+    assert [r.text for r in cite.cite_each(lib, ["a", "b"], "chicago-author-date")] == ["(Jonna Lund 2021)", "(Kim Lund 2021)"]
+    assert cite.cite_group(lib, [cite.Cite("a"), cite.Cite("d"), cite.Cite("c")], "apa").text == "(Lund, 2020, 2021; Smith, 2021)"
+    assert cite.bibliography(lib.records[3:], "apa")[0].startswith("Smith, J., Jr. (2021)") and cite.bibliography(lib.records[3:], "ieee")[0].startswith("[1] J. Smith Jr., ")
+    many = library.parse_bibtex("@misc{a, author={A, X and B, X and C, X and D, X}, title={A}, year=2021}@misc{b, author={A, X and E, X and C, X and D, X}, title={B}, year=2021}@misc{c, author={A, X and B, X and C, X and D, X}, title={C}, year=2021}")
+    assert [r.text for r in cite.cite_each(many, ["a", "b", "c"], "apa")] == ["(A, B, et al., 2021a)", "(A, E, et al., 2021)", "(A, B, et al., 2021b)"]
+
+
+def test_numbers_collapse():
+    lib = library.parse_bibtex("".join(f"@misc{{k{i}, title={{T}}}}" for i in range(6)))
+    cites = [cite.Cite(f"k{i}", "7" if i == 4 else None) for i in range(6)]
+    assert cite.cite_group(lib, cites, "ieee").text == "[1]–[4], [5, p. 7], [6]"
+    assert cite.cite_group(lib, cites[:2], "ieee").text == "[1], [2]"
+
+
+def test_languages():
+    lib = library.parse_bibtex("@article{a, author={Lund, Jonna and Rask, Rafael}, title={A}, journal={J}, pages={1--2}}")
+    assert cite.cite_group(lib, [cite.Cite("a", "3")], "chicago-author-date", language="de-DE").text == "(Lund und Rask o. J., 3)"
+    assert cite.bibliography(lib.records, "ieee", "de-DE")[0] == "[1] J. Lund und R. Rask, “A,” J, S. 1–2, o. J."
+    assert cite.locale("DE-de") == "de-DE" and cite.locale("") == "en-US"
+    with pytest.raises(ValueError, match="unknown bundled locale"):
+        cite.locale("xx-XX")
