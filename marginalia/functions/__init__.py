@@ -94,14 +94,19 @@ def diagnostics(bibtex, *, recovery: str = "error") -> Column:
     return parse_report(bibtex, recovery=recovery)["diagnostics"].alias("diagnostics")
 
 
-def entries(bibtex, *, fields=("key", "title", "doi", "volume"), recovery: str = "error") -> Column:
-    """Projection rows of each source; null where it does not parse."""
+def _projected(fields) -> tuple[str, ...]:
     if isinstance(fields, str):
         raise TypeError("fields must be an iterable of names, not a string")
-    fields, strict = tuple(fields), _strict(recovery)
+    fields = tuple(fields)
     for name in fields:
         if name not in _library.PROJECTIONS:
             raise ValueError(f'unsupported projection field "{name}"')
+    return fields
+
+
+def entries(bibtex, *, fields=("key", "title", "doi", "volume"), recovery: str = "error") -> Column:
+    """Projection rows of each source; null where it does not parse."""
+    fields, strict = _projected(fields), _strict(recovery)
 
     def work(source):
         got = None if source is None else _parsed(source, strict)
@@ -122,6 +127,48 @@ def to_entry_json(bibtex, *, recovery: str = "error") -> Column:
     return _apply(work, T.StringType(), bibtex).alias("to_entry_json")
 
 
+@functools.lru_cache(maxsize=64)
+def _parsed_yaml(source: str) -> _library.Library | str:
+    try:
+        return _library.parse_yaml(source)
+    except _library.ParseFailure as error:
+        return str(error)
+
+
+def yaml_report(yaml) -> Column:
+    """ok, entry_count, keys and diagnostics of each YAML source; four nulls for null."""
+
+    def work(source):
+        if source is None:
+            return (None, None, None, None)
+        got = _parsed_yaml(source)
+        return (False, None, None, got.split("\n")) if isinstance(got, str) else (True, len(got.records), got.keys(), got.diagnostics)
+
+    return _apply(work, REPORT, yaml).alias("yaml_report")
+
+
+def yaml_entries(yaml, *, fields=("key", "title", "doi", "volume")) -> Column:
+    """Projection rows of each YAML source; null where it does not parse."""
+    fields = _projected(fields)
+
+    def work(source):
+        got = None if source is None else _parsed_yaml(source)
+        return None if got is None or isinstance(got, str) else [tuple(r.project(f) for f in fields) for r in got.records]
+
+    row = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    return _apply(work, T.ArrayType(row), yaml).alias("yaml_entries")
+
+
+def yaml_to_entry_json(yaml) -> Column:
+    """A JSON array of a YAML source's normalised entries."""
+
+    def work(source):
+        got = None if source is None else _parsed_yaml(source)
+        return None if got is None or isinstance(got, str) else got.to_json()
+
+    return _apply(work, T.StringType(), yaml).alias("yaml_to_entry_json")
+
+
 def select_keys(bibtex, selector: str, *, recovery: str = "error") -> Column:
     """Keys of the entries that a selector such as ``article > periodical[volume]`` admits."""
     _library.select(_library.Library([], []), selector)
@@ -300,6 +347,7 @@ NAMES = (
     "entry_count", "can_parse", "has_diagnostics", "keys", "entries", "diagnostics", "parse_report", "to_entry_json",
     "cite", "cite_html", "cite_rendered", "cite_each", "cite_each_html", "cite_each_rendered", "cite_group", "cite_group_html", "cite_group_rendered",
     "full_bibliography_text", "full_bibliography_html", "full_bibliography_rendered", "tidy_bibtex", "tidy_bibtex_report",
+    "yaml_report", "yaml_entries", "yaml_to_entry_json", "select_keys", "raw_blocks", "raw_fields", "set_field",
 )
 
 

@@ -86,40 +86,52 @@ def raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = shelves(spark, sf_dir).filter("o_custkey % 7 <> 0")
+    held = shelves(spark, sf_dir)
     cited = held.select(F.col("o_custkey").alias("doc_id"), F.posexplode("orders").alias("ord", "o")).select("doc_id", "ord", F.format_string("o%d", "o").alias("key"), F.lit(None).cast("string").alias("locator"))
-    return O.render_documents(cited, held.select(F.col("o_custkey").alias("doc_id"), "bibtex"), style="ieee").select("doc_id", "ord", "text")
+    return O.render_documents(cited, held.select(F.col("o_custkey").alias("doc_id"), "bibtex"), style="ieee").select("doc_id", "ord", "text", "bibliography", "error")
 
 
-def _keys_of(n: int):
-    return F.transform(F.slice("orders", 1, n), lambda o: F.format_string("o%d", o))
+def _keys():
+    return F.transform("orders", lambda o: F.format_string("o%d", o))
+
+
+def _joined(report, parts: tuple[str, ...]):
+    """Fields of a report as one text."""
+    shown = [F.array_join(report[p], ",") if p in ("keys", "diagnostics") else report[p].cast("string") for p in parts]
+    return F.concat_ws("|", *[F.coalesce(x, F.lit("null")) for x in shown])
+
+
+def bibliographies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole bibliographies of every customer, as a line per entry."""
+    return shelves(spark, sf_dir).select("o_custkey", B.full_bibliography_text("bibtex", recovery="report").alias("bibliography"))
 
 
 QUERIES = {
     "entries": entries,
+    "bibliographies": bibliographies,
     "explode_lookup": explode_lookup,
     "entry_count": _shelf(lambda: B.entry_count("bibtex"), "entry_count"),
     "recovered_count": _shelf(lambda: B.entry_count("bibtex", recovery="report"), "entry_count"),
     "can_parse": _shelf(lambda: B.can_parse("bibtex"), "can_parse"),
     "has_diagnostics": _shelf(lambda: B.has_diagnostics("bibtex", recovery="report"), "has_diagnostics"),
-    "diagnostics": _shelf(lambda: F.size(B.diagnostics("bibtex", recovery="report")).cast("bigint"), "n_diagnostics"),
-    "parse_report": _shelf(lambda: F.when(B.parse_report("bibtex")["ok"], "ok").otherwise("failed"), "state"),
+    "diagnostics": _shelf(lambda: F.array_join(B.diagnostics("bibtex", recovery="report"), ";"), "diagnostics"),
+    "parse_report": _shelf(lambda: _joined(B.parse_report("bibtex"), ("ok", "entry_count", "keys", "diagnostics")), "report"),
     "keys": _shelf(lambda: F.array_join(B.keys("bibtex", recovery="report"), ","), "keys"),
-    "to_entry_json": _article(lambda: F.get_json_object(B.to_entry_json("bibtex"), "$[0].serial-number.doi"), "doi"),
+    "to_entry_json": _article(lambda: B.to_entry_json("bibtex"), "json"),
     "cite": _article(lambda: B.cite("bibtex", F.format_string("o%d", "o_orderkey")), "cite"),
     "cite_html": _article(lambda: B.cite_html("bibtex", F.format_string("o%d", "o_orderkey"), style="chicago-author-date"), "cite_html"),
     "cite_rendered": _article(lambda: B.cite_rendered("bibtex", F.format_string("o%d", "o_orderkey"), style="ieee")["text"], "cite"),
-    "cite_each": _shelf(lambda: F.array_join(B.cite_each("bibtex", _keys_of(9), style="ieee", recovery="report"), " "), "cites"),
-    "cite_each_html": _shelf(lambda: F.size(B.cite_each_html("bibtex", _keys_of(9), recovery="report")).cast("bigint"), "n"),
-    "cite_each_rendered": _shelf(lambda: F.array_join(B.cite_each_rendered("bibtex", _keys_of(1), recovery="report")["text"], " "), "cites"),
-    "cite_group": _shelf(lambda: B.cite_group("bibtex", _keys_of(3), style="ieee", recovery="report"), "cite"),
-    "cite_group_html": _shelf(lambda: B.cite_group_html("bibtex", _keys_of(1), recovery="report"), "cite"),
-    "cite_group_rendered": _shelf(lambda: B.cite_group_rendered("bibtex", _keys_of(1), style="chicago-author-date", recovery="report")["html"], "cite"),
+    "cite_each": _shelf(lambda: F.array_join(B.cite_each("bibtex", _keys(), style="ieee", recovery="report"), " "), "cites"),
+    "cite_each_html": _shelf(lambda: F.array_join(B.cite_each_html("bibtex", _keys(), recovery="report"), " "), "cites"),
+    "cite_each_rendered": _shelf(lambda: F.array_join(B.cite_each_rendered("bibtex", _keys(), style="chicago-author-date", recovery="report")["text"], " "), "cites"),
+    "cite_group": _shelf(lambda: B.cite_group("bibtex", _keys(), style="ieee", recovery="report"), "cite"),
+    "cite_group_html": _shelf(lambda: B.cite_group_html("bibtex", _keys(), recovery="report"), "cite"),
+    "cite_group_rendered": _shelf(lambda: B.cite_group_rendered("bibtex", _keys(), style="chicago-author-date", recovery="report")["html"], "cite"),
     "full_bibliography_text": _article(lambda: B.full_bibliography_text("bibtex"), "bibliography"),
     "full_bibliography_html": _article(lambda: B.full_bibliography_html("bibtex"), "bibliography"),
     "full_bibliography_rendered": _article(lambda: B.full_bibliography_rendered("bibtex", style="ieee")["text"], "bibliography"),
     "tidy_bibtex": _article(lambda: B.tidy_bibtex("bibtex", numeric=True, sort_fields=["title", "year"], omit=["journal"]), "bibtex"),
-    "tidy_bibtex_report": _shelf(lambda: F.coalesce(B.tidy_bibtex_report("bibtex")["count"].cast("bigint"), F.lit(-1)), "n"),
+    "tidy_bibtex_report": _shelf(lambda: _joined(B.tidy_bibtex_report("bibtex"), ("ok", "count", "error")), "report"),
     "generate_keys": _article(lambda: B.keys(B.tidy_bibtex("bibtex", generate_keys=True))[0], "key"),
     "set_field": _article(lambda: B.set_field("bibtex", F.format_string("o%d", "o_orderkey"), F.lit("title"), F.lit("New title")), "bibtex"),
     "raw_blocks": raw_blocks,
@@ -164,7 +176,7 @@ def _messy_sql(title="{{Big} Title %s}", again=False, month="{%s}", year="{%s}",
 
 def tidy_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of each customer's source after sorting its entries by year, then key, both descending."""
-    held = shelves(spark, sf_dir).filter("o_custkey % 7 <> 0")
+    held = shelves(spark, sf_dir)
     return held.select("o_custkey", F.array_join(B.keys(B.tidy_bibtex("bibtex", sort=["-year", "-doi"])), ",").alias("keys"))
 
 
@@ -173,7 +185,9 @@ def tidy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = articles(spark, sf_dir).withColumn("bibtex", F.concat("bibtex", F.replace("bibtex", F.lit("{o"), F.lit("{copy"))))
     held = each.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("bibtex")), "\n").alias("bibtex"))
     report = B.tidy_bibtex_report("bibtex", duplicates=["doi"], merge="first")
-    return held.select("o_custkey", report["count"].cast("bigint").alias("n_read"), B.entry_count(report["bibtex"]).cast("bigint").alias("n_left"), F.size(report["warnings"]).cast("bigint").alias("n_warned"))
+    told = held.select("o_custkey", report.alias("r"))
+    warned = F.array_join(F.array_sort(F.transform("r.warnings", lambda w: w["message"])), ";")
+    return told.select("o_custkey", F.col("r.count").cast("bigint").alias("n_read"), B.entry_count(F.col("r.bibtex")).cast("bigint").alias("n_left"), warned.alias("warned"))
 
 
 def citation_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +211,7 @@ QUERIES |= {
     "citation_positions": citation_positions,
     "assign_keys": assign_keys,
     "lookup": lookup,
-    "select_keys": _article(lambda: F.size(B.select_keys("bibtex", "article > periodical[volume] & !book")).cast("bigint"), "n"),
+    "select_keys": _shelf(lambda: F.array_join(B.select_keys("bibtex", "article > periodical[volume] & !book", recovery="report"), ","), "keys"),
     "tidy_defaults": _option(),
     "tidy_omit_empty": _option(omit=["url"], remove_empty_fields=True),
     "tidy_keep_duplicate_fields": _option(remove_duplicate_fields=False),
@@ -222,50 +236,59 @@ _JOURNAL = "'Priority ' || substr(o_orderpriority, 1, 1)"
 _BIB = f"""('@article{{o' || o_orderkey || ',' || chr(10) || ' author = {{Customer' || o_custkey || ', C}},' || chr(10) || ' title = {{Order ' || o_orderkey || '}},' || chr(10) || ' journal = {{' || {_JOURNAL} || '}},' || chr(10)
  || ' year = {{' || {_YEAR} || '}},' || chr(10) || ' volume = {{' || {_VOLUME} || '}},' || chr(10) || ' doi = {{10.5555/' || o_orderkey || '}}' || chr(10) || '}}' || chr(10))"""
 _BY = "FROM orders GROUP BY o_custkey"
-_FIRST = f"SELECT o_custkey, arg_min({_YEAR}, o_orderkey) AS yr FROM orders GROUP BY o_custkey"
+_END = "@broken{never closed"
+#: Where the unclosed block of a customer begins: behind the entries and the line breaks between them.
+_SPAN = f"(sum(strlen({_BIB})) + count(*)) || '..' || (sum(strlen({_BIB})) + count(*) + {len(_END)})"
+#: Letters of the articles that one customer has in one year, by title; places in the order cited.
+_LETTERS = f"""(SELECT o_custkey, o_orderkey, o_orderpriority, o_orderdate, {_YEAR} AS yr, {_YEAR} || CASE WHEN count(*) OVER same = 1 THEN '' WHEN row_number() OVER told <= 26 THEN chr(CAST(96 + row_number() OVER told AS INT))
+  ELSE chr(CAST(96 + (row_number() OVER told - 1) // 26 AS INT)) || chr(CAST(97 + (row_number() OVER told - 1) % 26 AS INT)) END AS shown, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n
+  FROM orders WINDOW same AS (PARTITION BY o_custkey, {_YEAR}), told AS (PARTITION BY o_custkey, {_YEAR} ORDER BY lower('Order ' || o_orderkey)))"""
 
 ORACLE_SQL = {
     "entries": f"SELECT o_custkey, 'o' || o_orderkey AS key, 'Article' AS entry_type, 'Order ' || o_orderkey AS title, CAST({_VOLUME} AS VARCHAR) AS volume, '10.5555/' || o_orderkey AS doi FROM orders",
+    "bibliographies": f"SELECT o_custkey, string_agg({_FAMILY} || ', C. (' || shown || '). Order ' || o_orderkey || '. ' || {_JOURNAL} || ', ' || {_VOLUME} || '. https://doi.org/10.5555/' || o_orderkey, chr(10) ORDER BY yr, lower('Order ' || o_orderkey)) AS bibliography FROM {_LETTERS} GROUP BY o_custkey",
     "explode_lookup": "SELECT o_custkey, 'o' || o_orderkey AS key, 'Order ' || o_orderkey AS title FROM orders WHERE o_totalprice > 200000",
     "entry_count": f"SELECT o_custkey, CAST(CASE WHEN o_custkey % 7 <> 0 THEN count(*) END AS INT) AS entry_count {_BY}",
     "recovered_count": f"SELECT o_custkey, CAST(count(*) AS INT) AS entry_count {_BY}",
     "can_parse": "SELECT DISTINCT o_custkey, o_custkey % 7 <> 0 AS can_parse FROM orders",
     "has_diagnostics": "SELECT DISTINCT o_custkey, o_custkey % 7 = 0 AS has_diagnostics FROM orders",
-    "diagnostics": "SELECT DISTINCT o_custkey, CAST(CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_diagnostics FROM orders",
-    "parse_report": "SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS state FROM orders",
+    "diagnostics": f"SELECT o_custkey, CASE WHEN o_custkey % 7 = 0 THEN 'ignored malformed BibTeX block at ' || {_SPAN} || ': entry ended before closing delimiter' ELSE '' END AS diagnostics {_BY}",
+    "parse_report": f"SELECT o_custkey, CASE WHEN o_custkey % 7 = 0 THEN 'false|null|null|parse error at ' || {_SPAN} || ': entry ended before closing delimiter' ELSE 'true|' || count(*) || '|' || string_agg('o' || o_orderkey, ',' ORDER BY o_orderkey) || '|' END AS report {_BY}",
     "keys": f"SELECT o_custkey, string_agg('o' || o_orderkey, ',' ORDER BY o_orderkey) AS keys {_BY}",
-    "to_entry_json": "SELECT o_orderkey, '10.5555/' || o_orderkey AS doi FROM orders",
+    "to_entry_json": f"""SELECT o_orderkey, '[{{"author":"' || {_FAMILY} || ', C","date":"' || {_YEAR} || '","id":"o' || o_orderkey || '","key":"o' || o_orderkey || '","parent":{{"title":"' || {_JOURNAL} || '","type":"periodical","volume":"' || {_VOLUME} || '"}},"serial-number":{{"doi":"10.5555/' || o_orderkey || '"}},"title":"Order ' || o_orderkey || '","type":"article"}}]' AS json FROM orders""",
     "cite": f"SELECT o_orderkey, '(' || {_FAMILY} || ', ' || {_YEAR} || ')' AS cite FROM orders",
     "cite_html": f"SELECT o_orderkey, '(' || {_FAMILY} || ' ' || {_YEAR} || ')' AS cite_html FROM orders",
     "cite_rendered": "SELECT o_orderkey, '[1]' AS cite FROM orders",
-    "cite_each": "WITH r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT o_custkey, string_agg('[' || n || ']', ' ' ORDER BY n) AS cites FROM r WHERE n <= 9 GROUP BY o_custkey",
-    "cite_each_html": f"SELECT o_custkey, CAST(least(count(*), 9) AS BIGINT) AS n {_BY}",
-    "cite_each_rendered": f"SELECT o_custkey, '(' || {_FAMILY} || ', ' || yr || ')' AS cites FROM ({_FIRST})",
-    "cite_group": "WITH r AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT o_custkey, string_agg('[' || n || ']', ', ' ORDER BY n) AS cite FROM r WHERE n <= 3 GROUP BY o_custkey",
-    "cite_group_html": f"SELECT o_custkey, '(' || {_FAMILY} || ', ' || yr || ')' AS cite FROM ({_FIRST})",
-    "cite_group_rendered": f"SELECT o_custkey, '(' || {_FAMILY} || ' ' || yr || ')' AS cite FROM ({_FIRST})",
+    "cite_each": f"SELECT o_custkey, string_agg('[' || n || ']', ' ' ORDER BY n) AS cites FROM {_LETTERS} GROUP BY o_custkey",
+    "cite_each_html": f"SELECT o_custkey, string_agg('(' || {_FAMILY} || ', ' || shown || ')', ' ' ORDER BY n) AS cites FROM {_LETTERS} GROUP BY o_custkey",
+    "cite_each_rendered": f"SELECT o_custkey, string_agg('(' || {_FAMILY} || ' ' || shown || ')', ' ' ORDER BY n) AS cites FROM {_LETTERS} GROUP BY o_custkey",
+    "cite_group": f"SELECT o_custkey, CASE count(*) WHEN 1 THEN '[1]' WHEN 2 THEN '[1], [2]' ELSE '[1]–[' || count(*) || ']' END AS cite {_BY}",
+    "cite_group_html": f"SELECT o_custkey, '(' || any_value({_FAMILY}) || ', ' || string_agg(shown, ', ' ORDER BY yr, n) || ')' AS cite FROM {_LETTERS} GROUP BY o_custkey",
+    "cite_group_rendered": f"SELECT o_custkey, '(' || any_value({_FAMILY}) || ' ' || string_agg(shown, ', ' ORDER BY n) || ')' AS cite FROM {_LETTERS} GROUP BY o_custkey",
     "full_bibliography_text": f"SELECT o_orderkey, {_FAMILY} || ', C. (' || {_YEAR} || '). Order ' || o_orderkey || '. ' || {_JOURNAL} || ', ' || {_VOLUME} || '. https://doi.org/10.5555/' || o_orderkey AS bibliography FROM orders",
     "full_bibliography_html": f"""SELECT o_orderkey, '<div class="csl-entry" data-key="o' || o_orderkey || '">' || {_FAMILY} || ', C. (' || {_YEAR} || '). Order ' || o_orderkey || '. <i>' || {_JOURNAL} || '</i>, <i>' || {_VOLUME} || '</i>. <a href="https://doi.org/10.5555/' || o_orderkey || '">https://doi.org/10.5555/' || o_orderkey || '</a></div>' AS bibliography FROM orders""",
     "full_bibliography_rendered": f"SELECT o_orderkey, '[1] C. ' || {_FAMILY} || ', “Order ' || o_orderkey || ',” ' || {_JOURNAL} || ', vol. ' || {_VOLUME} || ', ' || {_YEAR} || ', doi: 10.5555/' || o_orderkey || '.' AS bibliography FROM orders",
     "tidy_bibtex": f"""SELECT o_orderkey, '@article{{o' || o_orderkey || ',' || chr(10) || '  title         = {{Order ' || o_orderkey || '}},' || chr(10) || '  year          = ' || {_YEAR} || ',' || chr(10)
  || '  author        = {{' || {_FAMILY} || ', C}},' || chr(10) || '  volume        = ' || {_VOLUME} || ',' || chr(10) || '  doi           = {{10.5555/' || o_orderkey || '}}' || chr(10) || '}}' || chr(10) AS bibtex FROM orders""",
-    "tidy_bibtex_report": f"SELECT o_custkey, CAST(CASE WHEN o_custkey % 7 = 0 THEN -1 ELSE count(*) END AS BIGINT) AS n {_BY}",
+    "tidy_bibtex_report": f"SELECT o_custkey, CASE WHEN o_custkey % 7 = 0 THEN 'false|null|line ' || (9 * count(*) + 1) || ':1: entry ended before closing delimiter' ELSE 'true|' || count(*) || '|null' END AS report {_BY}",
     "generate_keys": f"SELECT o_orderkey, 'customer' || o_custkey || {_YEAR} || 'order' AS key FROM orders",
     "set_field": f"SELECT o_orderkey, replace({_BIB}, 'title = {{Order ' || o_orderkey || '}}', 'title = {{New title}}') AS bibtex FROM orders",
     "raw_blocks": f"SELECT o_custkey, 'entry' AS kind, count(*) AS n, CAST(sum(length({_BIB}) - 1) AS BIGINT) AS size {_BY} UNION ALL SELECT DISTINCT o_custkey, 'failed', 1, length('@broken{{never closed') FROM orders WHERE o_custkey % 7 = 0",
     "raw_fields": " UNION ALL ".join(f"SELECT o_orderkey, CAST({i} AS BIGINT) AS field_no, '{n}' AS name, CAST({v} AS VARCHAR) AS value, 'Braced' AS value_mode FROM orders" for i, (n, v) in enumerate((("author", f"{_FAMILY} || ', C'"), ("title", "'Order ' || o_orderkey"), ("journal", _JOURNAL), ("year", _YEAR), ("volume", _VOLUME), ("doi", "'10.5555/' || o_orderkey")))),
-    "year_suffix": f"SELECT o_orderkey, o_custkey, CAST({_YEAR} AS INT) AS yr, CASE WHEN count(*) OVER (PARTITION BY o_custkey, {_YEAR}) > 1 THEN chr(CAST(96 + (row_number() OVER (PARTITION BY o_custkey, {_YEAR} ORDER BY o_orderkey) - 1) % 26 + 1 AS INT)) ELSE '' END AS suffix FROM orders",
+    "year_suffix": f"WITH RECURSIVE l AS (SELECT CAST(0 AS BIGINT) AS place, 'a' AS letters UNION ALL SELECT place + 1, CASE WHEN letters = repeat('z', length(letters)) THEN repeat('a', length(letters) + 1) ELSE substr(letters, 1, length(rtrim(letters, 'z')) - 1) || chr(ascii(right(rtrim(letters, 'z'), 1)) + 1) || repeat('a', length(letters) - length(rtrim(letters, 'z'))) END FROM l WHERE place < (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, {_YEAR}))), p AS (SELECT o_orderkey, o_custkey, CAST({_YEAR} AS INT) AS yr, row_number() OVER (PARTITION BY o_custkey, {_YEAR} ORDER BY o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_custkey, {_YEAR}) AS n FROM orders) SELECT o_orderkey, o_custkey, yr, CASE WHEN n > 1 THEN letters ELSE '' END AS suffix FROM p JOIN l USING (place)",
     "number_citations": "WITH f AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) AS number FROM lineitem GROUP BY 1, 2) SELECT l_orderkey AS doc, l_partkey AS key, l_linenumber AS ord, number FROM lineitem JOIN f USING (l_orderkey, l_partkey)",
     "missing_references": "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)",
     "dedupe_entries": "SELECT p_partkey, p_type FROM part QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(p_type, '[^a-zA-Z0-9]', '', 'g')) ORDER BY p_partkey) = 1",
-    "render_documents": "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS ord, '[' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || ']' AS text FROM orders WHERE o_custkey % 7 <> 0",
+    "render_documents": f"""SELECT o_custkey AS doc_id, CAST(n - 1 AS INT) AS ord, CASE WHEN o_custkey % 7 <> 0 THEN '[' || n || ']' END AS text, CASE WHEN o_custkey % 7 <> 0 AND n = 1 THEN bibliography END AS bibliography,
+  CASE WHEN o_custkey % 7 = 0 THEN 'parse error at ' || span || ': entry ended before closing delimiter' END AS error
+  FROM {_LETTERS} JOIN (SELECT o_custkey, string_agg('[' || n || '] C. ' || {_FAMILY} || ', “Order ' || o_orderkey || ',” ' || {_JOURNAL} || ', vol. ' || {_VOLUME} || ', ' || yr || ', doi: 10.5555/' || o_orderkey || '.', chr(10) ORDER BY n) AS bibliography, {_SPAN} AS span FROM {_LETTERS} GROUP BY o_custkey) USING (o_custkey)""",
 }
 
 ORACLE_SQL |= {
     "citation_positions": "SELECT l_suppkey AS doc, l_partkey AS key, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 10 + l_linenumber) = 1 THEN 'first' ELSE 'subsequent' END AS position FROM lineitem",
     "assign_keys": f"SELECT o_orderkey, 'customer' || o_custkey || {_YEAR} || CASE WHEN count(*) OVER (PARTITION BY o_custkey, {_YEAR}) > 1 THEN CAST(row_number() OVER (PARTITION BY o_custkey, {_YEAR} ORDER BY o_orderkey) AS VARCHAR) ELSE '' END AS new_key FROM orders",
     "lookup": "SELECT c.o_custkey, 'o' || (c.o_orderkey + c.o_orderkey % 3) AS key, CASE WHEN e.o_orderkey IS NOT NULL THEN 'Order ' || e.o_orderkey END AS title FROM orders c LEFT JOIN orders e ON c.o_custkey = e.o_custkey AND e.o_orderkey = c.o_orderkey + c.o_orderkey % 3",
-    "select_keys": "SELECT o_orderkey, CAST(1 AS BIGINT) AS n FROM orders",
+    "select_keys": f"SELECT o_custkey, string_agg('o' || o_orderkey, ',' ORDER BY o_orderkey) AS keys {_BY}",
     "tidy_defaults": _messy_sql(),
     "tidy_omit_empty": _messy_sql(order=["TITLE", "month", "year", "pages", "author"]),
     "tidy_keep_duplicate_fields": _messy_sql(again=True),
@@ -279,6 +302,6 @@ ORACLE_SQL |= {
     "tidy_no_align": _messy_sql(indent="    ", align=0),
     "tidy_no_lowercase": _messy_sql(kind="ARTICLE", case=str),
     "tidy_sort_fields": _messy_sql(order=["TITLE", "author", "year", "month", "pages", "url", "note"]),
-    "tidy_sort": f"SELECT o_custkey, string_agg('o' || o_orderkey, ',' ORDER BY {_YEAR} DESC, '10.5555/' || o_orderkey DESC) AS keys FROM orders WHERE o_custkey % 7 <> 0 GROUP BY o_custkey",
-    "tidy_duplicates": f"SELECT o_custkey, 2 * count(*) AS n_read, count(*) AS n_left, count(*) AS n_warned {_BY}",
+    "tidy_sort": f"SELECT o_custkey, CASE WHEN o_custkey % 7 <> 0 THEN string_agg('o' || o_orderkey, ',' ORDER BY {_YEAR} DESC, '10.5555/' || o_orderkey DESC) END AS keys {_BY}",
+    "tidy_duplicates": f"SELECT o_custkey, 2 * count(*) AS n_read, count(*) AS n_left, string_agg('Duplicate removed. Entry copy' || o_orderkey || ' has an identical DOI to entry o' || o_orderkey || '.', ';' ORDER BY o_orderkey || ' ') AS warned {_BY}",
 }

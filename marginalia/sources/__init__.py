@@ -22,6 +22,23 @@ def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
     return decoded.select("path", known.alias("format"), F.col("d.text").alias("bibtex"), F.col("d.diagnostics").alias("diagnostics"))
 
 
-def write_bibliography(df: DataFrame, folder: str, source: str = "bibtex") -> None:
-    """The sources as text files below ``folder``."""
-    df.select(F.col(source).alias("value")).write.mode("errorifexists").text(folder)
+def write_bibliography(df: DataFrame, folder: str, source: str = "bibtex", *, extension: str | None = None) -> None:
+    """The sources as text files below ``folder``; with an ``extension`` such that :func:`read_bibliography` knows them.
+
+    A file holds the sources of one partition, one below the other.
+    """
+    writer = df.select(F.col(source).alias("value")).write.mode("errorifexists")
+    if extension is None:
+        writer.text(folder)
+        return
+    writer.text(folder)
+    # Spark's part files end in .txt: each gets the extension by a rename in the store.
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(path(folder)):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            store.rename(status.getPath(), path(folder, f"{name.rsplit('.', 1)[0]}.{extension}"))
+        else:
+            store.delete(status.getPath(), False)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marginalia import functions as B
 from marginalia import operators as O
 from marginalia.plans import bibliography as Q
+from marginalia.plans import sources as R
 from marginalia import sources
 
 SF = "/root/testdata/sf0.001"
@@ -66,14 +67,17 @@ def test_files(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()[0] == ARTICLE
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+QUERIES, SQL = Q.QUERIES | R.QUERIES, Q.ORACLE_SQL | R.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
     for t in "customer part orders lineitem".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = Q.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = sorted(str(tuple(r)) for r in df.select(sorted(df.columns)).collect())
-    held = con.execute(Q.ORACLE_SQL[name])
+    held = con.execute(SQL[name])
     names = [d[0] for d in held.description]
     order = sorted(range(len(names)), key=names.__getitem__)
     assert sorted(names) == sorted(df.columns)
