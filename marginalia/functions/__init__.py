@@ -8,7 +8,10 @@ a column of keys is parsed once.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
+import inspect
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
@@ -205,12 +208,12 @@ def cite_rendered(bibtex, key, *, style="apa", locale="en-US", recovery="error")
     return _citing(bibtex, key, lambda lib, k, of, to: _both(_cite.cite_group(lib, [_cite.Cite(k)], of, language=to)), RENDERED, style, locale, recovery).alias("cite_rendered")
 
 
-def cite(bibtex, key, **options) -> Column:
-    return cite_rendered(bibtex, key, **options)["text"].alias("cite")
+def cite(bibtex, key, *, style="apa", locale="en-US", recovery="error") -> Column:
+    return cite_rendered(bibtex, key, style=style, locale=locale, recovery=recovery)["text"].alias("cite")
 
 
-def cite_html(bibtex, key, **options) -> Column:
-    return cite_rendered(bibtex, key, **options)["html"].alias("cite_html")
+def cite_html(bibtex, key, *, style="apa", locale="en-US", recovery="error") -> Column:
+    return cite_rendered(bibtex, key, style=style, locale=locale, recovery=recovery)["html"].alias("cite_html")
 
 
 def cite_each_rendered(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
@@ -223,12 +226,12 @@ def cite_each_rendered(bibtex, keys, *, style="apa", locale="en-US", recovery="e
     return _citing(bibtex, keys, render, T.ArrayType(RENDERED), style, locale, recovery).alias("cite_each_rendered")
 
 
-def cite_each(bibtex, keys, **options) -> Column:
-    return cite_each_rendered(bibtex, keys, **options)["text"].alias("cite_each")
+def cite_each(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
+    return cite_each_rendered(bibtex, keys, style=style, locale=locale, recovery=recovery)["text"].alias("cite_each")
 
 
-def cite_each_html(bibtex, keys, **options) -> Column:
-    return cite_each_rendered(bibtex, keys, **options)["html"].alias("cite_each_html")
+def cite_each_html(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
+    return cite_each_rendered(bibtex, keys, style=style, locale=locale, recovery=recovery)["html"].alias("cite_each_html")
 
 
 def cite_group_rendered(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
@@ -240,12 +243,12 @@ def cite_group_rendered(bibtex, keys, *, style="apa", locale="en-US", recovery="
     return _citing(bibtex, keys, render, RENDERED, style, locale, recovery).alias("cite_group_rendered")
 
 
-def cite_group(bibtex, keys, **options) -> Column:
-    return cite_group_rendered(bibtex, keys, **options)["text"].alias("cite_group")
+def cite_group(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
+    return cite_group_rendered(bibtex, keys, style=style, locale=locale, recovery=recovery)["text"].alias("cite_group")
 
 
-def cite_group_html(bibtex, keys, **options) -> Column:
-    return cite_group_rendered(bibtex, keys, **options)["html"].alias("cite_group_html")
+def cite_group_html(bibtex, keys, *, style="apa", locale="en-US", recovery="error") -> Column:
+    return cite_group_rendered(bibtex, keys, style=style, locale=locale, recovery=recovery)["html"].alias("cite_group_html")
 
 
 def full_bibliography_rendered(bibtex, *, style="apa", locale="en-US", recovery="error") -> Column:
@@ -253,12 +256,12 @@ def full_bibliography_rendered(bibtex, *, style="apa", locale="en-US", recovery=
     return _citing(bibtex, F.lit(""), lambda lib, _, of, to: tuple(_cite.bibliography(lib.records, of, to)), RENDERED, style, locale, recovery).alias("full_bibliography_rendered")
 
 
-def full_bibliography_text(bibtex, **options) -> Column:
-    return full_bibliography_rendered(bibtex, **options)["text"].alias("full_bibliography_text")
+def full_bibliography_text(bibtex, *, style="apa", locale="en-US", recovery="error") -> Column:
+    return full_bibliography_rendered(bibtex, style=style, locale=locale, recovery=recovery)["text"].alias("full_bibliography_text")
 
 
-def full_bibliography_html(bibtex, **options) -> Column:
-    return full_bibliography_rendered(bibtex, **options)["html"].alias("full_bibliography_html")
+def full_bibliography_html(bibtex, *, style="apa", locale="en-US", recovery="error") -> Column:
+    return full_bibliography_rendered(bibtex, style=style, locale=locale, recovery=recovery)["html"].alias("full_bibliography_html")
 
 
 # ---- format and edit -----------------------------------------------------
@@ -284,6 +287,18 @@ def tidy_bibtex(bibtex, **options) -> Column:
     return tidy_bibtex_report(bibtex, **options)["bibtex"].alias("tidy_bibtex")
 
 
+@functools.lru_cache(maxsize=64)
+def _chosen(options: str) -> _tidy.TidyOptions:
+    """Options given as JSON."""
+    return _tidy.TidyOptions.check(**json.loads(options))
+
+
+#: The formatting functions take the options by name, and say so.
+_OPTIONS = [inspect.Parameter(f.name, inspect.Parameter.KEYWORD_ONLY, default=f.default) for f in dataclasses.fields(_tidy.TidyOptions)]
+for _function in (tidy_bibtex, tidy_bibtex_report):
+    _function.__signature__ = inspect.Signature([inspect.Parameter("bibtex", inspect.Parameter.POSITIONAL_OR_KEYWORD), *_OPTIONS], return_annotation=Column)
+
+
 def _blocks(source: str) -> list[tuple]:
     blocks = _scan.scan(source)
     at = _scan.byte_spans(source, [p for b in blocks for p in (b.start, b.end)])
@@ -373,7 +388,8 @@ def register(spark: SparkSession, prefix: str = "bib_") -> None:
 
     Wide functions are Arrow UDFs that take their options as arguments
     (``strict``, or ``style`` and ``strict``); narrow ones are SQL functions
-    over their fields: ``bib_cite(source, key, style => 'ieee')``.
+    over their fields: ``bib_cite(source, key, style => 'ieee')``.  Formatting takes
+    its options as JSON: ``bib_tidy_bibtex(source, '{"sort": ["-year"]}')``.
     """
     runtime.ship(spark)
 
@@ -402,17 +418,34 @@ def register(spark: SparkSession, prefix: str = "bib_") -> None:
     def group(lib, wanted, of):
         return None if any(k is None for k in wanted) else _both(_cite.cite_group(lib, [_cite.Cite(k) for k in wanted], of))
 
-    def formatted(source):
+    def formatted(source, options):
         if source is None:
             return None
         try:
-            got = _tidy.tidy(source)
+            got = _tidy.tidy(source, _chosen(options or "{}"))
         except _tidy.TidySyntaxError as error:
             return (False, None, None, None, error.display())
         return (True, got.bibtex, got.count, [(w.code.lower(), w.rule, w.message) for w in got.warnings], None)
 
+    def selected(source, selector, strict):
+        got = None if source is None or selector is None else _parsed(source, strict)
+        return None if got is None or isinstance(got, str) else [r.key for r in _library.select(got, selector)]
+
+    def edited(source, key, name, value):
+        try:
+            return None if None in (source, key, name, value) else _scan.set_field(source, key, name, value)
+        except (KeyError, IndexError, ValueError):
+            return None
+
+    def as_yaml(source):
+        got = None if source is None else _parsed_yaml(source)
+        return None if got is None or isinstance(got, str) else got.to_json()
+
     row = T.StructType([T.StructField(f, T.StringType()) for f in ("key", "entry_type", "title", "doi", "volume")])
     wide = {
+        "select_keys_of": (selected, _TEXTS),
+        "set_field": (edited, T.StringType()),
+        "yaml_to_entry_json": (as_yaml, T.StringType()),
         "parse_report_of": (report, REPORT),
         "to_entry_json_of": (as_json, T.StringType()),
         "entries_of": (listed, T.ArrayType(row)),
@@ -420,11 +453,12 @@ def register(spark: SparkSession, prefix: str = "bib_") -> None:
         "cite_each_of": (rendering(each), T.ArrayType(RENDERED)),
         "cite_group_of": (rendering(group), RENDERED),
         "full_bibliography_of": (rendering(lambda lib, _, of: tuple(_cite.bibliography(lib.records, of))), RENDERED),
-        "tidy_bibtex_report": (formatted, TIDIED),
+        "tidy_bibtex_report_of": (formatted, TIDIED),
     }
     for name, (work, returns) in wide.items():
         spark.udf.register(prefix + name, F.udf(work, returns, useArrow=True))
     source, strict, styled = "s STRING", "strict BOOLEAN DEFAULT true", "style STRING DEFAULT 'apa', strict BOOLEAN DEFAULT true"
+    options = "options STRING DEFAULT '{}'"
     one, many = f"{source}, k STRING, {styled}", f"{source}, k ARRAY<STRING>, {styled}"
     narrow = {
         "parse_report": (f"{source}, {strict}", f"{prefix}parse_report_of(s, strict)"),
@@ -447,7 +481,9 @@ def register(spark: SparkSession, prefix: str = "bib_") -> None:
         "full_bibliography_rendered": (f"{source}, {styled}", f"{prefix}full_bibliography_of(s, '', style, strict)"),
         "full_bibliography_text": (f"{source}, {styled}", f"{prefix}full_bibliography_of(s, '', style, strict).text"),
         "full_bibliography_html": (f"{source}, {styled}", f"{prefix}full_bibliography_of(s, '', style, strict).html"),
-        "tidy_bibtex": (source, f"{prefix}tidy_bibtex_report(s).bibtex"),
+        "tidy_bibtex": (f"{source}, {options}", f"{prefix}tidy_bibtex_report_of(s, options).bibtex"),
+        "tidy_bibtex_report": (f"{source}, {options}", f"{prefix}tidy_bibtex_report_of(s, options)"),
+        "select_keys": (f"{source}, selector STRING, {strict}", f"{prefix}select_keys_of(s, selector, strict)"),
     }
     for name, (arguments, body) in narrow.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({arguments}) RETURN {body}")

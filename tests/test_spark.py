@@ -40,6 +40,8 @@ def test_namespace_sql_and_one_evaluation(spark, rows):
     assert rows.select(F.col("bibtex").bib.cite("key")).columns == ["cite"]
     got = spark.sql("SELECT bib_entry_count(bibtex) AS n, bib_cite(bibtex, key, style => 'ieee') AS c, bib_cite_each(bibtex, keys) AS e, bib_full_bibliography_text(bibtex) AS b, bib_tidy_bibtex(bibtex) AS t, bib_has_diagnostics(bibtex, false) AS d FROM sources WHERE id = 1").first()
     assert got.n == 1 and got.c == "[1]" and got.e == ["(Lund, 2024)"] and got.b.startswith("Lund, J. (2024)") and got.t.startswith("@article{lund2024,\n") and got.d is False
+    got = spark.sql("""SELECT bib_tidy_bibtex(bibtex, '{"omit": ["journal", "volume"], "sort_fields": ["year"]}') AS t, bib_select_keys(bibtex, 'article') AS k, bib_set_field(bibtex, key, 'title', 'New') AS e, bib_yaml_to_entry_json('a: {title: T}') AS y FROM sources WHERE id = 1""").first()
+    assert got.t.split("\n")[1].startswith("  year") and "journal" not in got.t and got.k == ["lund2024"] and "title={New}" in got.e and '"title":"T"' in got.y
     assert spark.sql("SELECT s.id, b.kind FROM sources s, LATERAL bib_blocks(s.bibtex) b").count() == 4
     assert spark.sql("SELECT f.name FROM sources s, LATERAL bib_fields(s.bibtex) f WHERE s.id = 1").count() == 5
     assert spark.sql("SELECT e.title FROM sources s, LATERAL bib_entry_rows(s.bibtex) e WHERE s.id = 1").first().title == "Ebb"
@@ -139,3 +141,11 @@ print("COUNT", spark.createDataFrame([("@misc{{a, title={{t}}}}",)], "bibtex str
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "COUNT 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_signatures_name_every_option():
+    import inspect
+
+    assert len(inspect.signature(B.tidy_bibtex).parameters) == 28 and inspect.signature(B.tidy_bibtex_report).parameters["align"].default == 14
+    for name in ("cite", "cite_html", "cite_each", "cite_each_html", "cite_group", "cite_group_html", "full_bibliography_text", "full_bibliography_html"):
+        assert {"style", "locale", "recovery"} <= set(inspect.signature(getattr(B, name)).parameters)
