@@ -137,7 +137,7 @@ class Style:
 
     @staticmethod
     def names() -> tuple[str, ...]:
-        return _cite.STYLES
+        return (*_cite.STYLES, *_cite.SOURCES)
 
 
 @dataclass(frozen=True)

@@ -240,6 +240,22 @@ _register("bibliography_xml_style", TWO, lambda: B.full_bibliography_text("bibte
 _register("cite_locale", TWO, lambda: B.cite_group("bibtex", _BOTH(), style="chicago-author-date", locale="de-DE"), _sql("(Lund und Rask «y»; Alpha «k» «y»)"))
 _register("bibliography_locale", TWO, lambda: B.full_bibliography_text("bibtex", style="ieee", locale="de-DE"), _sql("[1] A. Lund und R. Rask, Beta, «y».\n[2] “Alpha «k»,” J, S. 3–«k», «y»."))
 
+THREE = "@article{a«k», author={Lund, Anna and Rask, R}, title={Alpha «k»}, journal={J}, volume={7}, number={2}, pages={3--9}, year={«y»}, month=mar, doi={10.5/«k»}}\n@book{b«k», author={Lund, Berit}, title={Beta}, publisher={House}, year={«y»}}\n@book{c«k», author={Lund, Anna and Rask, R}, title={Gamma}, publisher={House}, year={«y»}}\n"
+#: Of each bundled style of this language: a citation of three works as HTML, and the bibliography as text.
+BUNDLED = {
+    "vancouver": "(1–3)|1. Lund A, Rask R. Alpha «k». J. «y»;7(2):3–9. doi:10.5/«k»\n2. Lund B. Beta. House; «y».\n3. Lund A, Rask R. Gamma. House; «y».",
+    "nature": "<sup>1–3</sup>|1. Lund, A. & Rask, R. Alpha «k». J 7, 3–9 («y»).\n2. Lund, B. Beta. (House, «y»).\n3. Lund, A. & Rask, R. Gamma. (House, «y»).",
+    "american-medical-association": "<sup>1–3</sup>|1. Lund A, Rask R. Alpha «k». J. «y»;7(2):3–9. doi:10.5/«k»\n2. Lund B. Beta. House; «y».\n3. Lund A, Rask R. Gamma. House; «y».",
+    "harvard-cite-them-right": "(Lund and Rask, «y»b, «y»a; Lund, «y»)|Lund, A. and Rask, R. («y»a) Gamma. House.\nLund, A. and Rask, R. («y»b) ‘Alpha «k»’, J, 7(2), pp. 3–9. Available at: https://doi.org/10.5/«k».\nLund, B. («y») Beta. House.",  # a year stands before its months
+    "modern-language-association": "(Lund and Rask <i>Alpha «k»</i>; Lund; Lund and Rask <i>Gamma</i>)|Lund, Anna, and R Rask. “Alpha «k».” J, vol. 7, no. 2, Mar. «y», pp. 3–9, https://doi.org/10.5/«k».\n---. Gamma. House, «y».\nLund, Berit. Beta. House, «y».",
+}
+_ALL = lambda: F.array(_text("a«k»"), _text("b«k»"), _text("c«k»"))
+for _style, _shown in BUNDLED.items():
+    _register("style_" + _style.replace("-", "_"), THREE, lambda of=_style: F.concat_ws("|", B.cite_group_html("bibtex", _ALL(), style=of), B.full_bibliography_text("bibtex", style=of)), _sql(_shown))
+DATED = "<style xmlns='http://purl.org/net/xbiblio/csl' version='1.0'><info/><citation disambiguate-add-givenname='true' givenname-disambiguation-rule='primary-name' collapse='year-suffix' disambiguate-add-year-suffix='true'><layout delimiter='; '><group delimiter=' '><names variable='author'><name form='short' and='text'><name-part name='family' font-variant='small-caps'/></name></names><date variable='issued' form='text' date-parts='year-month'/></group></layout></citation></style>"
+_SC = '<span style="font-variant: small-caps;">'
+_register("cite_xml_given_names", THREE, lambda: B.cite_group_html("bibtex", _ALL(), style=DATED, locale="de-DE"), _sql(f"Anna {_SC}Lund</span> und {_SC}Rask</span> März «y», «y»; Berit {_SC}Lund</span> «y»"))
+
 
 def _local(work, returns: str = "string"):
     return lambda: F.udf(work, returns, useArrow=True)("bibtex")
@@ -255,6 +271,18 @@ def _tree(source: str) -> str:
     return "|".join([cited["kind"], cited["meta"], cited["children"][0]["meta"], cited["children"][0]["children"][0]["text"], entry["kind"], entry["key"], entry["first_field"]["meta"], *kinds])
 
 
+IBID = "<style xmlns='http://purl.org/net/xbiblio/csl' version='1.0'><info/><citation><layout><choose><if position='ibid-with-locator'><text value='Ibid at '/><text variable='locator'/></if><else-if position='ibid'><text value='Ibid'/></else-if><else-if position='subsequent'><text value='See '/><text variable='title'/></else-if><else><text variable='title'/></else></choose></layout></citation></style>"
+
+
+def _places(source: str) -> str:
+    doc = api.Document(api.Library.parse_bibtex(source), api.Style.from_xml(IBID))
+    a, b, _ = doc.library.keys()
+    cited = [api.Cite(a), api.Cite(a), api.Cite(a, "4"), api.Cite(a, "4"), api.Cite(b), api.Cite(a)]
+    got = doc.render([api.Citation(str(i), c) for i, c in enumerate(cited)])
+    return "|".join([got[str(i)].text for i in range(len(cited))])
+
+
+_register("cite_xml_positions", THREE, _local(_places), _sql("Alpha «k»|Ibid|Ibid at 4|Ibid|Beta|See Alpha «k»"))
 _register("render_tree", TWO, _local(_tree), _sql("Element|Entry|CitationNumber|[1]|bibliography-entry|b«k»|CitationNumber|Text:A. Lund and R. Rask, :Normal|Text:Beta:Italic|Text:, «y».:Normal"))
 
 

@@ -37,3 +37,77 @@ def test_numbers_follow_the_bibliography_sort():
 def test_unusable_styles_are_refused(text):
     with pytest.raises(ValueError):
         cite.style(text)
+
+
+WORKS = library.parse_bibtex(
+    "@book{a, author={Lund, Anna and Rask, R and Poe, Ed}, title={Alpha}, date={2020-03-05}}@book{b, author={Lund, Anna and Rask, R and Moe, K}, title={Beta}, year=2020}"
+    "@book{c, author={Lund, Berit}, title={Gamma}, year=2021}@book{d, author={Lund, Anna}, title={Delta}, year=2021}@book{e, author={Lund, Anna}, title={Eta}, year=2021}@book{f, author={{Quiet Press}}, title={What?}, edition=2}"
+)
+SHORT = "<group delimiter=' '><names variable='author'><name form='short' and='text'/></names><date variable='issued'><date-part name='year'/></date></group>"
+
+
+def test_more_names_then_given_names_then_letters_tell_works_apart():
+    style = xml(SHORT, attributes="et-al-min='3' et-al-use-first='1' disambiguate-add-names='true' disambiguate-add-givenname='true' disambiguate-add-year-suffix='true'")
+    assert [r.text for r in cite.cite_each(WORKS, list("abcde"), style)] == ["(Lund, Rask, and Poe 2020)", "(Lund, Rask, and Moe 2020)", "(Berit Lund 2021)", "(Anna Lund 2021a)", "(Anna Lund 2021b)"]
+    first = xml(SHORT, attributes="disambiguate-add-givenname='true' givenname-disambiguation-rule='primary-name'")
+    assert [r.text for r in cite.cite_each(WORKS, list("cf"), first)] == ["(Lund 2021)", "(Quiet Press)"]
+    assert [r.text for r in cite.cite_each(WORKS, list("cd"), first)] == ["(Berit Lund 2021)", "(Anna Lund 2021)"]
+
+
+@pytest.mark.parametrize(
+    "attributes, text",
+    [
+        ("disambiguate-add-year-suffix='true' collapse='year'", "(Lund 2021a, 2021b; Quiet Press; Lund, Rask, and Poe 2020)"),
+        ("disambiguate-add-year-suffix='true' collapse='year-suffix' year-suffix-delimiter=',' after-collapse-delimiter='. '", "(Lund 2021a,b. Quiet Press; Lund, Rask, and Poe 2020)"),
+        ("cite-group-delimiter=' + '", "(Lund 2021 + Lund 2021; Quiet Press; Lund, Rask, and Poe 2020)"),
+    ],
+)
+def test_cites_of_the_same_names_collapse(attributes, text):
+    assert cite.cite_group(WORKS, [cite.Cite(k) for k in "dfea"], xml(SHORT, attributes=attributes)).text == text
+
+
+def test_numbers_in_a_row_become_a_range_unless_they_have_locators():
+    style = xml("<text variable='citation-number'/><text variable='locator' prefix=':'/>", attributes="collapse='citation-number'")
+    works = [cite.Cite(k) for k in "abcdef"]
+    done = cite.render_document(WORKS, [("0", works), ("1", [works[3], works[0], works[1], works[2]]), ("2", [works[0], cite.Cite("b", "9"), works[2]])], style)[0]
+    assert [r.text for _, r in done] == ["(1–6)", "(1–4)", "(1; 2:9; 3)"]
+
+
+@pytest.mark.parametrize("language, text", [("en-US", "(March 5, 2020)"), ("en-GB", "(5 March 2020)"), ("de-DE", "(5. März 2020)"), ("es-ES", "(5 de marzo de 2020)"), ("fr-FR", "(5 mars 2020)")])
+def test_dates_in_words(language, text):
+    assert cite.cite_each(WORKS, ["a"], xml("<date variable='issued' form='text'/>"), language)[0].text == text
+
+
+def test_terms_serve_their_language_only():
+    more = "<locale xml:lang='de'><terms><term name='edition'>Aufl.</term></terms></locale><locale><terms><term name='in'>within</term></terms></locale>"
+    style = xml("<group delimiter=' '><number variable='edition' form='ordinal'/><text term='edition'/><text term='in'/></group>", more)
+    assert [cite.cite_each(WORKS, ["f"], style, to)[0].text for to in ("en-US", "de-DE")] == ["(2nd ed. within)", "(2. Aufl. within)"]
+
+
+def test_marks_nest_and_stops_do_not_double():
+    style = xml("<group delimiter='. ' font-weight='bold'><text variable='title' font-style='italic'/><names variable='author'><name font-variant='small-caps'/></names></group>")
+    shown = cite.cite_each(WORKS, ["f"], style)[0]
+    assert shown.text == "(What? Quiet Press)" and shown.html.startswith("(<b><i>What?</i></b><b> </b><b>")
+    assert shown.tree[0]["children"][1]["formatting"]["font_weight"] == "Bold"
+
+
+def test_repeated_authors_and_labels_of_a_bibliography():
+    more = "<bibliography second-field-align='flush' subsequent-author-substitute='—'><sort><key variable='author'/></sort><layout suffix='.'><text variable='citation-number' suffix=' '/><names variable='author' suffix=', '/><text variable='title'/></layout></bibliography>"
+    shown = cite.bibliography([WORKS.find(k) for k in "ced"], xml("<text variable='citation-number'/>", more))
+    assert shown.text == "1 Anna Lund, Eta.\n2 —, Delta.\n3 Berit Lund, Gamma."
+    assert shown.tree[0]["first_field"]["children"][0]["text"] == "1"
+
+
+def test_a_macro_that_calls_itself_is_refused():
+    with pytest.raises(ValueError, match="calls itself"):
+        cite.style(xml("<text macro='m'/>", "<macro name='m'><text macro='n'/></macro><macro name='n'><text macro='m'/></macro>"))
+
+
+@pytest.mark.parametrize("name", sorted(cite.SOURCES))
+def test_bundled_styles_render_bare_and_full_records(name):
+    of = cite.style(name.upper())
+    bare = library.parse_bibtex("@misc{x}")
+    assert cite.bibliography(bare.records, of).text is not None and cite.cite_each(bare, ["x"], of)[0].text is not None
+    for language in cite.LOCALES:
+        shown = cite.bibliography(WORKS.records, of, language)
+        assert len(shown.entries) == 6 and ".." not in shown.text and "  " not in shown.text
