@@ -239,6 +239,7 @@ _register("cite_xml_style", TWO, lambda: B.cite_group_html("bibtex", _BOTH(), st
 _register("bibliography_xml_style", TWO, lambda: B.full_bibliography_text("bibtex", style=STYLE), _sql("1 “Alpha «k»”.\n2 “Beta”."))
 _register("cite_locale", TWO, lambda: B.cite_group("bibtex", _BOTH(), style="chicago-author-date", locale="de-DE"), _sql("(Lund und Rask «y»; Alpha «k» «y»)"))
 _register("bibliography_locale", TWO, lambda: B.full_bibliography_text("bibtex", style="ieee", locale="de-DE"), _sql("[1] A. Lund und R. Rask, Beta, «y».\n[2] “Alpha «k»,” J, S. 3–«k», «y»."))
+_register("bibliography_html_margin", TWO, lambda: B.full_bibliography_html("bibtex", style="ieee"), _sql('<div class="csl-entry" data-key="b«k»"><div class="csl-left-margin">[1]</div><div class="csl-right-inline">A. Lund and R. Rask, <i>Beta</i>, «y».</div></div><div class="csl-entry" data-key="a«k»"><div class="csl-left-margin">[2]</div><div class="csl-right-inline">“Alpha «k»,” <i>J</i>, pp. 3–«k», «y».</div></div>'))
 
 THREE = "@article{a«k», author={Lund, Anna and Rask, R}, title={Alpha «k»}, journal={J}, volume={7}, number={2}, pages={3--9}, year={«y»}, month=mar, doi={10.5/«k»}}\n@book{b«k», author={Lund, Berit}, title={Beta}, publisher={House}, year={«y»}}\n@book{c«k», author={Lund, Anna and Rask, R}, title={Gamma}, publisher={House}, year={«y»}}\n"
 #: Of each bundled style of this language: a citation of three works as HTML, and the bibliography as text.

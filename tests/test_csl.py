@@ -87,7 +87,7 @@ def test_terms_serve_their_language_only():
 def test_marks_nest_and_stops_do_not_double():
     style = xml("<group delimiter='. ' font-weight='bold'><text variable='title' font-style='italic'/><names variable='author'><name font-variant='small-caps'/></names></group>")
     shown = cite.cite_each(WORKS, ["f"], style)[0]
-    assert shown.text == "(What? Quiet Press)" and shown.html.startswith("(<b><i>What?</i></b><b> </b><b>")
+    assert shown.text == "(What? Quiet Press)" and shown.html == '(<b><i>What?</i></b> <b><span style="font-variant: small-caps;">Quiet Press</span></b>)'
     assert shown.tree[0]["children"][1]["formatting"]["font_weight"] == "Bold"
 
 
@@ -111,3 +111,15 @@ def test_bundled_styles_render_bare_and_full_records(name):
     for language in cite.LOCALES:
         shown = cite.bibliography(WORKS.records, of, language)
         assert len(shown.entries) == 6 and ".." not in shown.text and "  " not in shown.text
+
+
+@pytest.mark.parametrize("of, label", [("ieee", "[1]"), ("vancouver", "1.")])
+def test_labels_stand_in_a_margin(of, label):
+    shown = cite.bibliography([WORKS.find("c")], of)
+    assert shown.html.startswith(f'<div class="csl-entry" data-key="c"><div class="csl-left-margin">{label}</div><div class="csl-right-inline">') and shown.html.endswith("</div></div>")
+    assert shown.text.startswith(f"{label} ") and "Gamma" in shown.text
+
+
+@pytest.mark.parametrize("link, href", [(" https://x.y/z ", "https://x.y/z"), ("MAILTO:a@b", "MAILTO:a@b"), ("javascript:x", None), ("a/https:", None), ("", None)])
+def test_addresses_that_may_become_links(link, href):
+    assert cite.safe(link) == href and ("<a " in cite.as_html([("t", "", link)])) == bool(href)
