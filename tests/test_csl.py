@@ -123,3 +123,29 @@ def test_labels_stand_in_a_margin(of, label):
 @pytest.mark.parametrize("link, href", [(" https://x.y/z ", "https://x.y/z"), ("MAILTO:a@b", "MAILTO:a@b"), ("javascript:x", None), ("a/https:", None), ("", None)])
 def test_addresses_that_may_become_links(link, href):
     assert cite.safe(link) == href and ("<a " in cite.as_html([("t", "", link)])) == bool(href)
+
+
+#: The ranges that the standard gives as examples, in each form.
+RANGES = {
+    "expanded": "42–45 321–328 2787–2816", "minimal": "42–5 321–8 2787–816", "minimal-two": "42–45 321–28 2787–816",
+    "chicago-15": "3–10 71–72 96–117 100–104 600–613 1100–1123 107–8 505–17 1002–6 321–25 415–532 11564–68 13792–803 1496–1504 2787–2816",
+    "chicago-16": "3–10 71–72 96–117 100–104 600–613 1100–1123 107–8 505–17 1002–6 321–25 415–532 11564–68 13792–803 1496–504 2787–816",
+}
+
+
+@pytest.mark.parametrize("form", RANGES)
+def test_page_ranges(form):
+    full = csl._pages(RANGES[form], "expanded")
+    assert csl._pages(full, form) == RANGES[form] and "–" in full
+    assert csl._pages("A3–7, x, 9–2, e12", form) == "A3–7, x, 9–2, e12"
+
+
+def test_page_ranges_of_a_style():
+    style = xml("<text variable='page'/>").replace("class=", "page-range-format='minimal' class=")
+    assert cite.cite_each(library.parse_bibtex("@misc{p, pages={321--328}}"), ["p"], style)[0].text == "(321–8)"
+
+
+@pytest.mark.parametrize("citation, attributes", [("<text macro='none'/>", ""), (SHORT, "et-al-min='few'")])
+def test_styles_that_cannot_render_are_refused(citation, attributes):
+    with pytest.raises(ValueError, match="invalid style"):
+        cite.style(xml(citation, attributes=attributes))
