@@ -122,7 +122,7 @@ class Style:
     def load(cls, name: str) -> Style:
         if name.lstrip().startswith("<"):
             raise ValueError(f"unknown bundled style {name!r}")
-        return cls(_cite.style(name))
+        return cls(_cite.style(name), name, _cite.title(name))
 
     @classmethod
     def from_xml(cls, xml: str) -> Style:
@@ -146,6 +146,10 @@ class Locale:
 
     name: str
 
+    @property
+    def code(self) -> str:
+        return self.name
+
     @classmethod
     def load(cls, name: str) -> Locale:
         return cls(_cite.locale(name))

@@ -1,5 +1,6 @@
 import pytest
 
+from marginalia import api
 from marginalia.core import cite, csl, library
 
 HEAD = '<style xmlns="http://purl.org/net/xbiblio/csl" class="in-text" version="1.0"><info><title>t</title></info>'
@@ -149,3 +150,10 @@ def test_page_ranges_of_a_style():
 def test_styles_that_cannot_render_are_refused(citation, attributes):
     with pytest.raises(ValueError, match="invalid style"):
         cite.style(xml(citation, attributes=attributes))
+
+
+def test_bundled_styles_have_names_and_titles():
+    assert (api.Style.load("MLA").id, api.Style.load("MLA").title) == ("MLA", "Modern Language Association")
+    assert all(api.Style.load(name).title for name in (*api.Style.names(), *cite.ALIASES))
+    assert cite.cite_each(WORKS, ["c"], cite.style("american-psychological-association")) == cite.cite_each(WORKS, ["c"], "apa")
+    assert api.Locale.load("de-DE").code == "de-DE"
