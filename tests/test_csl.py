@@ -157,3 +157,21 @@ def test_bundled_styles_have_names_and_titles():
     assert all(api.Style.load(name).title for name in (*api.Style.names(), *cite.ALIASES))
     assert cite.cite_each(WORKS, ["c"], cite.style("american-psychological-association")) == cite.cite_each(WORKS, ["c"], "apa")
     assert api.Locale.load("de-DE").code == "de-DE"
+
+
+def test_long_lists_of_people_stay_cheap():
+    import time
+
+    people = " and ".join([f"Name{k}, A" for k in range(2500)])
+    works = library.parse_bibtex("".join([f"@misc{{w{k}, author={{{people}{more}}}, title={{T{k}}}, year=2020}}" for k, more in enumerate(("", "", " and Last, B"))]))
+    began = time.process_time()
+    for of in ("apa", "chicago-author-date", *cite.SOURCES):
+        assert len(cite.cite_each(works, ["w0", "w1", "w2"], of)) == 3
+    assert time.process_time() - began < 20
+    assert cite.cite_each(works, ["w0", "w1"], "harvard-cite-them-right")[1].text == "(Name0 et al., 2020b)"
+
+
+def test_odd_numbers_stand_as_they_are():
+    odd = library.parse_bibtex("@misc{a, edition={²}, pages={" + "9" * 5000 + "--1}, date={2020-13}}")
+    style = xml("<number variable='edition' form='ordinal'/><text variable='page' prefix=' '/><date variable='issued' form='text' prefix=' '/>").replace("class=", "page-range-format='chicago' class=")
+    assert cite.cite_each(odd, ["a"], style)[0].text.startswith("(² 999")
