@@ -14,20 +14,34 @@ from marginalia import operators as O
 from marginalia.runtime import ship, table
 
 
+def _text(key, customer, priority, year):
+    """The BibTeX of one article."""
+    return F.format_string("@article{o%d,\n author = {Customer%d, C},\n title = {Order %d},\n journal = {Priority %s},\n year = {%d},\n volume = {%d},\n doi = {10.5555/%d}\n}\n", key, customer, key, priority, year, key % 50 + 1, key)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, o_custkey, yr and the BibTeX of one article per order."""
     ship(spark)
     orders = table(spark, sf_dir, "orders", spread=True).select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("yr"), "o_orderpriority")
-    text = F.format_string("@article{o%d,\n author = {Customer%d, C},\n title = {Order %d},\n journal = {Priority %s},\n year = {%d},\n volume = {%d},\n doi = {10.5555/%d}\n}\n", "o_orderkey", "o_custkey", "o_orderkey", F.substring("o_orderpriority", 1, 1), "yr", F.col("o_orderkey") % 50 + 1, "o_orderkey")
-    return orders.withColumn("bibtex", text)
+    return orders.withColumn("bibtex", _text(F.col("o_orderkey"), F.col("o_custkey"), F.substring("o_orderpriority", 1, 1), F.col("yr")))
+
+
+def _by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of every customer by key, in an array ``all`` of numbers only: texts are written where the array lies."""
+    ship(spark)
+    orders = table(spark, sf_dir, "orders", by="o_custkey").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("yr"), F.substring("o_orderpriority", 1, 1).alias("priority"))
+    return orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "yr", "priority"))).alias("all"))
+
+
+def _texts():
+    """The BibTeX of each of a customer's orders."""
+    return F.transform("all", lambda o: _text(o["o_orderkey"], F.col("o_custkey"), o["priority"], o["yr"]))
 
 
 def shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source per customer, with entries by order key; every seventh has an unclosed block."""
-    each = articles(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "yr", "bibtex"))).alias("all"))
-    joined = F.array_join(F.col("all.bibtex"), "\n")
-    broken = F.col("o_custkey") % 7 == 0
-    return each.select("o_custkey", F.col("all.o_orderkey").alias("orders"), F.when(broken, F.concat(joined, F.lit("\n@broken{never closed"))).otherwise(joined).alias("bibtex"))
+    end = F.when(F.col("o_custkey") % 7 == 0, F.lit("\n@broken{never closed")).otherwise(F.lit(""))
+    return _by_customer(spark, sf_dir).select("o_custkey", F.col("all.o_orderkey").alias("orders"), F.concat(F.array_join(_texts(), "\n"), end).alias("bibtex"))
 
 
 def _shelf(column, name: str):
@@ -182,8 +196,8 @@ def tidy_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tidy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries left of a source in which every order occurs twice under two keys and one DOI."""
-    each = articles(spark, sf_dir).withColumn("bibtex", F.concat("bibtex", F.replace("bibtex", F.lit("{o"), F.lit("{copy"))))
-    held = each.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("bibtex")), "\n").alias("bibtex"))
+    twice = F.transform(_texts(), lambda text: F.concat(text, F.replace(text, F.lit("{o"), F.lit("{copy"))))
+    held = _by_customer(spark, sf_dir).select("o_custkey", F.array_join(F.array_sort(twice), "\n").alias("bibtex"))
     report = B.tidy_bibtex_report("bibtex", duplicates=["doi"], merge="first")
     told = held.select("o_custkey", report.alias("r"))
     warned = F.array_join(F.array_sort(F.transform("r.warnings", lambda w: w["message"])), ";")

@@ -149,3 +149,24 @@ def test_signatures_name_every_option():
     assert len(inspect.signature(B.tidy_bibtex).parameters) == 28 and inspect.signature(B.tidy_bibtex_report).parameters["align"].default == 14
     for name in ("cite", "cite_html", "cite_each", "cite_each_html", "cite_group", "cite_group_html", "full_bibliography_text", "full_bibliography_html"):
         assert {"style", "locale", "recovery"} <= set(inspect.signature(getattr(B, name)).parameters)
+
+
+def _dealt(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+
+def test_rows_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path):
+    """Splits without the middle of a row group are empty, so their number says nothing."""
+    plain = spark.range(120_000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 12_000).alias("o_custkey"), F.lit("2020-01-05").cast("timestamp").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"))
+    plain.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in held:
+            spark.conf.set(k, "65536")
+        assert spark.read.parquet(str(tmp_path / "orders.parquet")).rdd.getNumPartitions() >= 4
+        assert max(_dealt(R.orders(spark, str(tmp_path)))) <= 25_000 and max(_dealt(Q.articles(spark, str(tmp_path)))) <= 25_000
+        shelves = _dealt(Q.shelves(spark, str(tmp_path)))
+        assert sum(shelves) == 12_000 and len(shelves) == 5 and max(shelves) < 3_000
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
