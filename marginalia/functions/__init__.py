@@ -46,7 +46,25 @@ def _strict(recovery: str) -> bool:
     return recovery == "error"
 
 
-@functools.lru_cache(maxsize=64)
+#: A worker keeps parsed sources of up to so many characters only: 64 of them are small beside a batch of rows.
+KEPT_LENGTH = 20_000
+
+
+def _keeping(parse: Callable) -> Callable:
+    """``parse``, with recent results kept for sources of :data:`KEPT_LENGTH` at most, and the last one whatever its length."""
+    short, last = functools.lru_cache(maxsize=64)(parse), functools.lru_cache(maxsize=1)(parse)
+
+    @functools.wraps(parse)
+    def read(source: str, *how):
+        if len(source) <= KEPT_LENGTH:
+            return short(source, *how)
+        return last(source, *how)
+
+    read.short, read.last = short, last
+    return read
+
+
+@_keeping
 def _parsed(source: str, strict: bool) -> _library.Library | str:
     try:
         return _library.parse_bibtex(source, strict)
@@ -146,7 +164,7 @@ def to_entry_json(bibtex, *, recovery: str = "error") -> Column:
     return _apply(work, T.StringType(), bibtex).alias("to_entry_json")
 
 
-@functools.lru_cache(maxsize=64)
+@_keeping
 def _parsed_yaml(source: str) -> _library.Library | str:
     try:
         return _library.parse_yaml(source)

@@ -22,12 +22,16 @@ def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
     return decoded.select("path", known.alias("format"), F.col("d.text").alias("bibtex"), F.col("d.diagnostics").alias("diagnostics"))
 
 
-def write_bibliography(df: DataFrame, folder: str, source: str = "bibtex", *, extension: str | None = None) -> None:
+#: Sources in one file at most: a reader holds a file and its parsed entries in memory at once.
+SOURCES_PER_FILE = 5_000
+
+
+def write_bibliography(df: DataFrame, folder: str, source: str = "bibtex", *, extension: str | None = None, per_file: int = SOURCES_PER_FILE) -> None:
     """The sources as text files below ``folder``; with an ``extension`` such that :func:`read_bibliography` knows them.
 
-    A file holds the sources of one partition, one below the other.
+    A file holds sources of one partition, one below the other, ``per_file`` at most.
     """
-    writer = df.select(F.col(source).alias("value")).write.mode("errorifexists")
+    writer = df.select(F.col(source).alias("value")).write.mode("errorifexists").option("maxRecordsPerFile", per_file)
     if extension is None:
         writer.text(folder)
         return

@@ -170,3 +170,14 @@ def test_rows_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_files_and_kept_sources_are_bounded(spark, tmp_path):
+    """A file of a whole partition, and 64 of them kept parsed, do not fit into a worker."""
+    many = spark.range(12_000).coalesce(1).select(F.format_string("@misc{k%d, title={T}}", "id").alias("bibtex"))
+    sources.write_bibliography(many, str(tmp_path / "out"), extension="bib")
+    read = sources.read_bibliography(spark, str(tmp_path / "out"))
+    assert sorted(O.explode_entries(read.select("path", "bibtex"), outer=False).groupBy("path").count().toPandas()["count"]) == [2_000, 5_000, 5_000]
+    for start in range(0, 70_000, 10_000):
+        B._parsed("\n".join(f"@misc{{k{i}, title={{T}}}}" for i in range(start, start + 2_000)), True)
+    assert B._parsed.last.cache_info().currsize == 1 and len(B._parsed("@misc{a, title={x}}", True).records) == 1
