@@ -175,3 +175,18 @@ def test_odd_numbers_stand_as_they_are():
     odd = library.parse_bibtex("@misc{a, edition={²}, pages={" + "9" * 5000 + "--1}, date={2020-13}}")
     style = xml("<number variable='edition' form='ordinal'/><text variable='page' prefix=' '/><date variable='issued' form='text' prefix=' '/>").replace("class=", "page-range-format='chicago' class=")
     assert cite.cite_each(odd, ["a"], style)[0].text.startswith("(² 999")
+
+
+def test_citation_and_bibliography_share_what_tells_works_apart():
+    from unittest import mock
+
+    from marginalia.core import cite, csl, library
+
+    lib = library.parse_bibtex("@misc{a, author={Lund, A}, title={X}, year=2020}\n@misc{b, author={Lund, B}, title={Y}, year=2020}")
+    for style in ("nature", "harvard-cite-them-right", "modern-language-association", "apa"):
+        for keys in (["a", "b"], ["b", "a"], ["a"], [], ["zz"]):
+            cites = [cite.Cite(k) for k in keys]
+            with mock.patch.object(csl.XmlStyle, "tell", autospec=True, side_effect=csl.XmlStyle.tell) as told:
+                cited, listed = cite.cite_and_list(lib, cites, style)
+            assert told.call_count <= 1 or keys != ["a", "b"]
+            assert cited == cite.cite_group(lib, cites, style) and listed == cite.bibliography(lib.records, style)
