@@ -267,3 +267,18 @@ def test_yaml_is_read_by_libyaml_where_both_readers_agree():
         assert library.parse_yaml(text).keys() == ["a"]
     with pytest.raises(library.ParseFailure, match="cannot start any token"):
         library.parse_yaml("a:\n  title: T\n  note: \t")  # libyaml alone would take it
+
+
+def test_formatting_looks_only_at_what_may_change():
+    from unittest import mock
+
+    import marginalia.core.tidy as tidier
+
+    with mock.patch.object(tidier, "latex_of", wraps=tidier.latex_of) as looked:
+        assert tidier.escape_text("plain words, 50% of $x_1$ é" + " more" * 50) == r"plain words, 50\% of $x_1$ \'{e}" + " more" * 50
+    assert looked.call_count <= 2
+    entries = [b.entry for b in scan("".join(f"@misc{{k{i}, author={{Lund, A}}, year={{2020}}}}" for i in range(5)))]
+    with mock.patch.object(tidier, "parse_template", wraps=tidier.parse_template) as parsed, mock.patch.object(tidier, "_words", wraps=tidier._words) as words:
+        for _ in range(3):
+            assert tidier.key_plan(entries, "[auth:lower][year]q")[:2] == ["lund2020qa", "lund2020qb"]
+    assert parsed.call_count <= 1 and words.call_count == 0
