@@ -30,7 +30,9 @@ def _by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of every customer by key, in an array ``all`` of numbers only: texts are written where the array lies."""
     ship(spark)
     orders = table(spark, sf_dir, "orders", by="o_custkey").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("yr"), F.substring("o_orderpriority", 1, 1).alias("priority"))
-    return orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "yr", "priority"))).alias("all"))
+    each = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "yr", "priority"))).alias("all"))
+    # Without a step between, each use of the array is an aggregate of its own, and each field read from a report another reading of the source.
+    return each.select("o_custkey", F.explode_outer(F.array("all")).alias("all"))
 
 
 def _texts():

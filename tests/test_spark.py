@@ -181,3 +181,9 @@ def test_files_and_kept_sources_are_bounded(spark, tmp_path):
     for start in range(0, 70_000, 10_000):
         B._parsed("\n".join(f"@misc{{k{i}, title={{T}}}}" for i in range(start, start + 2_000)), True)
     assert B._parsed.last.cache_info().currsize == 1 and len(B._parsed("@misc{a, title={x}}", True).records) == 1
+
+
+@pytest.mark.parametrize("name, readings", [("tidy_duplicates", 2), ("parse_report", 1), ("tidy_bibtex_report", 1)])
+def test_a_report_of_a_shelf_is_made_once(spark, name, readings):
+    plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("], [pythonUDF0#") == readings and "pythonUDF1#" not in plan.toString()
