@@ -282,5 +282,5 @@ def audio_digest(docs: DataFrame, *, spec: Spec = Spec()) -> DataFrame:
             columns = [[*column] for column in zip(*rows)] + [features]
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds[1:])]], names=names)
 
-    # Stored in the shared folder and read back, as media tables are in use.
-    return runtime.materialize(media_table(docs, spec=spec), "media").mapInArrow(read, schema)
+    # Stored in the shared folder and read back, as media tables are in use; samples of texts take two thirds of the room as zstd.
+    return runtime.materialize(media_table(docs, spec=spec), "media", compression="zstd").mapInArrow(read, schema)

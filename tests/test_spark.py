@@ -6,7 +6,7 @@ from marginalia import functions as B
 from marginalia import operators as O
 from marginalia.plans import bibliography as Q
 from marginalia.plans import sources as R
-from marginalia import sources
+from marginalia import runtime, sources
 
 SF = "/root/testdata/sf0.001"
 ARTICLE = "@article{lund2024, author={Lund, Jonna}, title={Ebb}, journal={J}, year=2024, volume=3}"
@@ -172,6 +172,27 @@ def test_rows_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_rows_in_even_splits_stay_where_they_are(spark, tmp_path):
+    """A shuffle of them would hold every text on disk once more."""
+    spark.range(4_000).withColumn("text", F.lit("x")).repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    spread = runtime.table(spark, str(tmp_path), "documents", spread=True)
+    assert "Exchange" not in spread._jdf.queryExecution().executedPlan().toString() and sum(_dealt(spread)) == 4_000
+    assert sum(_dealt(runtime.table(spark, str(tmp_path), "documents", by="id"))) == 4_000
+
+
+def test_media_are_stored_compressed(spark):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from marginalia.llm import audio
+
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("words " * 500).alias("text"))
+    assert audio.audio_digest(docs).count() == 3
+    media = max(Path(runtime.shared_dir(spark).removeprefix("file://")).glob(f"{spark.sparkContext.applicationId}/media-*"), key=lambda p: p.stat().st_mtime)
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(1).compression for f in media.glob("*.parquet") if pq.ParquetFile(f).metadata.num_rows} == {"ZSTD"}
+
+
 def test_files_and_kept_sources_are_bounded(spark, tmp_path):
     """A file of a whole partition, and 64 of them kept parsed, do not fit into a worker."""
     many = spark.range(12_000).coalesce(1).select(F.format_string("@misc{k%d, title={T}}", "id").alias("bibtex"))
