@@ -69,3 +69,19 @@ def test_yaml_keeps_rich_values():
     assert held["url"] == {"date": "2020-09-17", "value": "http://x"} and held["parent"][1]["url"]["date"] == "2021-01-02" and lib["k"].title == "T"
     with pytest.raises(api.BibliographyError):
         api.Library.parse_yaml("k: 1")
+
+
+def test_a_raw_document_is_scanned_once(monkeypatch):
+    """Every look at it was a scan of its own: eleven in local_raw_document."""
+    from marginalia.core import scan as _scan
+
+    scans = []
+    monkeypatch.setattr(_scan, "scan", lambda text, inner=_scan.scan: scans.append(text) or inner(text))
+    doc = api.BibDocument.parse("% c\n@string{s = {v}}\n@misc{a, x = {1}, x = {2}}\n")
+    assert [len(doc.blocks), doc.comments, doc.strings, doc.occurrence_keys(), len(doc), "a" in doc, doc.preamble] == [6, ["c"], {"s": "v"}, ["a"], 1, True, ""]
+    doc.blocks.clear()
+    assert [f.value for f in doc["a"].get_all("x")] == ["1", "2"] and len(scans) == 1
+    doc.set_field("a", "x", "3", 1)
+    assert [f.value for f in doc.entries["a"].get_all("x")] == ["1", "3"] and len(scans) == 2
+    doc.source = "@misc{b}"
+    assert doc.occurrence_keys() == ["b"] and len(scans) == 3
