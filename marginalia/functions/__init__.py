@@ -14,9 +14,11 @@ import inspect
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marginalia import runtime
 from marginalia.core import cite as _cite
@@ -79,6 +81,37 @@ def _apply(work: Callable, returns: T.DataType, *columns) -> Column:
     return F.udf(work, returns, useArrow=True)(*map(_column, columns))
 
 
+#: Sources whose rows are held as Python objects at a time.
+_TOGETHER = 256
+
+
+def _apply_rows(read: Callable[[str], list[tuple]], row: T.StructType, source) -> Column:
+    """The rows that ``read`` finds in each source as an array of structs; null for null.
+
+    Columns of whole batches become Arrow arrays: value by value, their conversion takes longer than the reading.
+    """
+    names, kinds = row.names, [to_arrow_type(f.dataType) for f in row]
+    schema = pa.list_(pa.struct([pa.field(n, k) for n, k in zip(names, kinds)]))
+
+    def held(sources: list[str | None]) -> pa.Array:
+        offsets, rows = [], []
+        for source in sources:
+            offsets.append(None if source is None else len(rows))
+            if source is not None:
+                rows += read(source)
+        columns = zip(*rows) if rows else [[]] * len(names)
+        values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        return pa.ListArray.from_arrays(pa.array([*offsets, len(rows)], pa.int32()), values).cast(schema)
+
+    def work(sources: pa.Array) -> pa.Array:
+        parts = [held(sources.slice(at, _TOGETHER).to_pylist()) for at in range(0, len(sources), _TOGETHER)]
+        return pa.concat_arrays(parts) if parts else pa.array([], schema)
+
+    if session := SparkSession.getActiveSession():
+        runtime.ship(session)
+    return F.arrow_udf(work, T.ArrayType(row))(_column(source))
+
+
 # ---- parse and inspect ---------------------------------------------------
 
 
@@ -377,8 +410,7 @@ def _field_rows(source: str, wanted: tuple[str, ...] = tuple(_FIELD_PARTS)) -> l
 
 def raw_blocks(bibtex) -> Column:
     """Blocks of each raw source with kinds and byte spans."""
-
-    return _apply(lambda source: None if source is None else _blocks(source), T.ArrayType(BLOCK), bibtex).alias("raw_blocks")
+    return _apply_rows(_blocks, BLOCK, bibtex).alias("raw_blocks")
 
 
 def raw_fields(bibtex, *, columns=None) -> Column:
@@ -390,7 +422,7 @@ def raw_fields(bibtex, *, columns=None) -> Column:
     if bad := [w for w in wanted if w not in _FIELD_PARTS]:
         raise ValueError(f"unknown field column {bad[0]!r}")
     row = T.StructType([FIELD[w] for w in wanted])
-    return _apply(lambda source: None if source is None else _field_rows(source, wanted), T.ArrayType(row), bibtex).alias("raw_fields")
+    return _apply_rows(lambda source: _field_rows(source, wanted), row, bibtex).alias("raw_fields")
 
 
 def set_field(bibtex, key, field, value) -> Column:
@@ -398,7 +430,7 @@ def set_field(bibtex, key, field, value) -> Column:
 
     def work(source, key, field, value):
         try:
-            return None if None in (source, key, field, value) else _scan.set_field(source, key, field, value)
+            return None if None in (source, key, field, value) or _scan.refused(value) else _scan.set_field(source, key, field, value)
         except (KeyError, IndexError, ValueError):
             return None
 

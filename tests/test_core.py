@@ -282,3 +282,30 @@ def test_formatting_looks_only_at_what_may_change():
         for _ in range(3):
             assert tidier.key_plan(entries, "[auth:lower][year]q")[:2] == ["lund2020qa", "lund2020qb"]
     assert parsed.call_count <= 1 and words.call_count == 0
+
+
+def test_plain_entries_are_read_in_one_pass():
+    """Entries written plainly take one match a field; what they hold is what the longer way finds."""
+    import marginalia.core.scan as scanner
+
+    for source in ('@misc{a1, x = {1 {b}}, y = "2 {"q"}", z = tok, w = m # { é}, x = {\\"u\n}}', "@Article{ k ,\n a=1,\n b={}\n}", "@misc{k,}"):
+        assert scanner._plain_block(source, 0, scanner.Ends(source)) == scanner._block(source, 0, scanner.Ends(source))
+    for source in ("@misc{k, a = {\\}}}", "@misc{k, a = 1 % x\n}", "@misc{k, a}", "@misc{k, a = }", "@misc(k, a = 1)", "@string{k, a = 1}", "@misc{k, a = {1}", "@misc{k, a = {b}, , c = 1}"):
+        assert scanner._plain_block(source, 0, scanner.Ends(source)) is None
+
+
+def test_edits_that_are_refused_anyway_take_no_scan():
+    from unittest import mock
+
+    import marginalia.core.scan as scanner
+
+    for value in ("a}{b", "end\\", "{open", "50%", "a\nb"):
+        assert scanner.refused(value)
+        with pytest.raises(ValueError):
+            set_field("@misc{a, x = {1}}", "a", "x", value)
+    assert not any(map(scanner.refused, ("", "tok", 'say "x"', "{a} b", "50\\%")))
+    with mock.patch.object(scanner, "scan", wraps=scanner.scan) as scans:
+        for key, name in (("b", "x"), ("a", "no")):
+            with pytest.raises(KeyError):
+                set_field("@misc{a, x = {1}}", key, name, "2")
+    assert scans.call_count == 0

@@ -208,3 +208,14 @@ def test_files_and_kept_sources_are_bounded(spark, tmp_path):
 def test_a_report_of_a_shelf_is_made_once(spark, name, readings):
     plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
     assert plan.toString().count("], [pythonUDF0#") == readings and "pythonUDF1#" not in plan.toString()
+
+
+def test_raw_rows_leave_python_as_arrow_columns(spark):
+    """Null, empty and many sources, in more than one part; the conversion is not done value by value."""
+    sources_ = [None, "", "@misc{a, x = {1} # b}", "% é\n@broken{"] * 150
+    df = spark.createDataFrame(list(enumerate(sources_)), "n int, bibtex string").coalesce(1)
+    got = df.select("n", B.raw_blocks("bibtex").alias("b"), B.raw_fields("bibtex").alias("f")).orderBy("n").collect()
+    for row, source in zip(got, sources_, strict=True):
+        assert row.b == (None if source is None else B._blocks(source)) and row.f == (None if source is None else [(*f[:7], [tuple(a) for a in f[7]], *f[8:]) for f in B._field_rows(source)])
+    plan = df.select(B.raw_blocks("bibtex"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "work(bibtex" in plan
