@@ -85,3 +85,23 @@ def test_a_raw_document_is_scanned_once(monkeypatch):
     assert [f.value for f in doc.entries["a"].get_all("x")] == ["1", "3"] and len(scans) == 2
     doc.source = "@misc{b}"
     assert doc.occurrence_keys() == ["b"] and len(scans) == 3
+
+
+def test_a_style_is_read_once_and_a_bibliography_alone_cites_nothing(monkeypatch):
+    from marginalia.core import cite, csl
+
+    reads = []
+    monkeypatch.setattr(csl.XmlStyle, "__init__", lambda self, *a, inner=csl.XmlStyle.__init__: reads.append(a) or inner(self, *a))
+    xml = "<style><info><id>read-once</id></info><citation><layout><text variable='title'/></layout></citation></style>"
+    assert [api.Style.from_xml(xml).id for _ in range(3)] == ["read-once"] * 3 and len(reads) == 1
+    doc, told = api.Document(api.Library.parse_bibtex(BIB)), []
+    monkeypatch.setattr(cite.Short, "__init__", lambda self, *a, inner=cite.Short.__init__: told.append(a) or inner(self, *a))
+    got = doc.render([api.Citation("1", api.CitationGroup(["a", "b"]))])
+    assert len(told) == 1 and got.bibliography.text == "Lund, J. (2024). T. J.\nRask, R. (2020). U."
+    with monkeypatch.context() as m:
+        m.setattr(cite, "cite_group", None)
+        assert doc.cited_bibliography(api.Citation("1", "b")).text == "Rask, R. (2020). U."
+        with pytest.raises(api.MissingReferenceError):
+            doc.cited_bibliography(api.Citation("1", "zz"))
+        with pytest.raises(ValueError):
+            doc.cited_bibliography(api.Citation("1", "a"), api.Citation("1", "b"))

@@ -285,7 +285,7 @@ def test_formatting_looks_only_at_what_may_change():
 
 
 def test_plain_entries_are_read_in_one_pass():
-    """Entries written plainly take one match a field; what they hold is what the longer way finds."""
+    """Entries written plainly take one match a field; what they hold is what the longer way finds, and fields are made when asked for."""
     import marginalia.core.scan as scanner
 
     for source in ('@misc{a1, x = {1 {b}}, y = "2 {"q"}", z = tok, w = m # { é}, x = {\\"u\n}}', "@Article{ k ,\n a=1,\n b={}\n}", "@misc{k,}"):

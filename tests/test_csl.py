@@ -190,3 +190,20 @@ def test_citation_and_bibliography_share_what_tells_works_apart():
                 cited, listed = cite.cite_and_list(lib, cites, style)
             assert told.call_count <= 1 or keys != ["a", "b"]
             assert cited == cite.cite_group(lib, cites, style) and listed == cite.bibliography(lib.records, style)
+
+
+def test_what_told_works_apart_is_not_rendered_again(monkeypatch):
+    """Cites without a locator read as they did when works were told apart; dates are rendered once."""
+    from marginalia.core import csl
+    from marginalia.core.library import parse_bibtex
+    from marginalia.plans.sources import DATED, THREE
+
+    lib = parse_bibtex(THREE.replace("«k»", "1").replace("«y»", "1997"))
+    style = csl.XmlStyle(DATED)
+    calls = {"_parts": 0, "_shown_date": 0}
+    for name in calls:
+        monkeypatch.setattr(csl.XmlStyle, name, lambda self, *a, n=name, inner=getattr(csl.XmlStyle, name): calls.__setitem__(n, calls[n] + 1) or inner(self, *a))
+    cites = [csl.Cite(k) for k in lib.keys()]
+    once = [r.text for _, r in style.citations(lib, [("", cites)])]
+    assert once == [r.text for _, r in style.citations(lib, [("", cites)])] and once[0].count("Lund") == 2
+    assert calls == {"_parts": 8, "_shown_date": 2}  # seven a citation before, and a date for each
