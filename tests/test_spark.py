@@ -219,3 +219,13 @@ def test_raw_rows_leave_python_as_arrow_columns(spark):
         assert row.b == (None if source is None else B._blocks(source)) and row.f == (None if source is None else [(*f[:7], [tuple(a) for a in f[7]], *f[8:]) for f in B._field_rows(source)])
     plan = df.select(B.raw_blocks("bibtex"))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "work(bibtex" in plan
+
+
+def test_documents_are_rendered_many_at_a_time(spark):
+    """No group of its own for each document; null documents, several libraries and none keep their rows."""
+    cited = spark.createDataFrame([(1, 1, "b", None), (1, 0, "a", "4"), (2, 0, "a", None), (3, 0, "a", None), (None, 0, "a", None), (4, None, "a", None), (4, 2, None, None)], "doc_id int, ord int, key string, locator string")
+    held = spark.createDataFrame([(1, "@misc{a, title={A}}\n@misc{b, title={B}}"), (2, "@misc{b}"), (2, None), (None, "@misc{a, title={N}}"), (4, "@misc{a}"), (9, "@misc{a}")], "doc_id int, bibtex string")
+    got = O.render_documents(cited, held, style="ieee")
+    assert "Arrow" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "CoGroup" not in plan and got.columns == ["doc_id", "ord", "text", "html", "bibliography", "error"]
+    rows = sorted([(r.doc_id, r.ord, r.text, r.bibliography, r.error) for r in got.collect()], key=str)
+    assert rows == sorted([(1, 0, "[1, p. 4]", "[1] A, n.d.\n[2] B, n.d.", None), (1, 1, "[2]", None, None), (2, 0, None, None, "the document has 2 libraries"), (3, 0, None, None, "the document has no library"), (None, 0, "[1]", "[1] N, n.d.", None), (4, 2, None, None, "a citation has no key"), (4, None, None, None, "a citation has no key")], key=str)
