@@ -309,3 +309,11 @@ def test_edits_that_are_refused_anyway_take_no_scan():
             with pytest.raises(KeyError):
                 set_field("@misc{a, x = {1}}", key, name, "2")
     assert scans.call_count == 0
+
+
+def test_fields_of_a_plain_entry_can_be_replaced():
+    entry, other = (b.entry for b in scan("@misc{a, x = {1}}@misc{b, y = {2}, z = 3}"))
+    entry.key, entry.fields = other.key, list(other.fields)
+    assert [f.name for f in entry.fields] == ["y", "z"] and entry == other and entry.parts is None
+    merged = tidy("@misc{a, doi={10/x}, title={T}}\n@misc{b, doi={10/X}, note={N}}\n", TidyOptions.check(merge="last")).bibtex
+    assert merged == "@misc{b,\n  doi           = {10/X},\n  note          = {N}\n}\n"
